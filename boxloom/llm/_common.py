@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -70,7 +71,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of about most bytes of text at a time; a longer text stands alone, whole."""
     for batch in batches:
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0)), dtype=np.int64)
+        ends = np.cumsum(np.asarray(pc.binary_length(batch.column(text)).fill_null(0)), dtype=np.int64)
         at = 0
         while at < len(ends):
             done = ends[at - 1] if at else 0

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, quality, urls
+from . import decontaminate, licenses, mixing, quality, simhash, substrings, urls
 
 QUERIES = {
+    "op1_substrings": substrings.op1_substrings,
+    "op2_simhash": simhash.op2_simhash,
     "op3_quality": quality.op3_quality,
     "op6_mix": mixing.op6_mix,
     "op8_decontaminate": decontaminate.op8_decontaminate,
@@ -12,6 +14,7 @@ QUERIES = {
     "op10_licenses": licenses.op10_licenses,
 }
 ORACLE = {
+    "op1_substrings": substrings.ORACLE,
     "op3_quality": quality.ORACLE,
     "op6_mix": mixing.ORACLE,
     "op8_decontaminate": decontaminate.ORACLE,
