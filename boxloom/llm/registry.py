@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, mixing, quality, simhash, substrings, urls
+from . import decontaminate, language, licenses, mixing, quality, secrets, simhash, substrings, urls
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
     "op2_simhash": simhash.op2_simhash,
     "op3_quality": quality.op3_quality,
+    "op4_secrets": secrets.op4_secrets,
+    "op5_language": language.op5_language,
     "op6_mix": mixing.op6_mix,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_urls": urls.op9_urls,

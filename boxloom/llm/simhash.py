@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import LOWER, durable, extended, read, slices
@@ -218,6 +218,22 @@ def links(distinct: DataFrame) -> DataFrame:
         level += 1
 
 
+#: Stands for a null key: larger than all others.
+_LAST = (1 << 63) - 1
+
+
+def _node(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
+
+
+def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """node, sum (a hash of the text), fp and component_id of each row."""
+    marked = durable(fingerprints(docs.select(_node(key).alias("node"), F.xxhash64(text).alias("sum"), F.col(text).alias("text")), keep=["node", "sum"]))
+    distinct = durable(marked.groupBy("fp").agg(F.min("node").alias("node")))
+    roots = components(links(distinct))
+    return marked.join(distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "fp")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, fp (signed long) and component_id (smallest key reachable over links) of each row of docs.
 
@@ -225,13 +241,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rows with equal keys are judged each by its own text; a null key counts as larger than all others, so a component of null keys
     only has a null id; an empty table gives an empty one; other columns of docs aren't looked at. key is a whole number.
     """
-    last = (1 << 63) - 1
-    marked = durable(fingerprints(docs.select(F.coalesce(F.col(key).cast("long"), F.lit(last)).alias("node"), F.col(text).alias("text")), keep=["node"]))
-    distinct = durable(marked.groupBy("fp").agg(F.min("node").alias("node")))
-    roots = components(links(distinct))
-    by = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    null = lambda c: F.when(F.col(c) != last, F.col(c))
-    return marked.join(by, "fp").select(null("node").alias(key), "fp", null("component_id").alias("component_id"))
+    null = lambda c: F.when(F.col(c) != _LAST, F.col(c))
+    return _judged(docs, key, text).select(null("node").alias(key), "fp", null("component_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest key; of several rows with it, one of the smallest hash of a text.
+
+    Else as near_duplicates. Columns called nd_node or nd_sum are an error.
+    """
+    if clash := {"nd_node", "nd_sum"} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    kept = _judged(docs, key, text).where("node = component_id").groupBy(F.col("node").alias("nd_node")).agg(F.min("sum").alias("nd_sum"))
+    rows = docs.withColumns({"nd_node": _node(key), "nd_sum": F.xxhash64(text)}).join(kept, ["nd_node", "nd_sum"])
+    return rows.dropDuplicates(["nd_node", "nd_sum"]).select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
