@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, licenses, mixing, quality, secrets, simhash, substrings, urls
+from . import decontaminate, exact, language, licenses, mixing, quality, secrets, simhash, substrings, urls
 
 QUERIES = {
     "op1_substrings": substrings.op1_substrings,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_secrets": secrets.op4_secrets,
     "op5_language": language.op5_language,
     "op6_mix": mixing.op6_mix,
+    "op7_exact": exact.op7_exact,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_urls": urls.op9_urls,
     "op10_licenses": licenses.op10_licenses,
