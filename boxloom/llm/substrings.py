@@ -7,6 +7,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,34 +43,45 @@ def later(hashes: np.ndarray, *order: np.ndarray) -> np.ndarray:
     return some[1:][h[1:] == h[:-1]]
 
 
-def _pack(ids: np.ndarray, sums: np.ndarray, text: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> bytes:
-    """Windows in order of text: the texts in use, how many windows each has, their places and hashes."""
-    used, counts = np.unique(text, return_counts=True)
-    return b"".join(x.tobytes() for x in (np.array([len(used), len(text)], np.int64), ids[used], sums[used], counts.astype(np.int32), place.astype(np.int32), hashes))
+def _planes(x: np.ndarray) -> bytes:
+    """Differences of 32-bit numbers, all lowest bytes first: what is left of the others compresses well."""
+    return np.diff(x.astype("<i4"), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, m = np.frombuffer(blob, np.int64, 2)
-    at = 16
-    out = []
-    for kind, k in ((np.int64, n), (np.int64, n), (np.int32, n), (np.int32, m), (np.uint64, m)):
-        out.append(np.frombuffer(blob, kind, int(k), at))
-        at += out[-1].nbytes
-    ids, sums, counts, place, hashes = out
-    return np.repeat(ids, counts), np.repeat(sums, counts), place, hashes
+def _pack(ids: np.ndarray, sums: np.ndarray, text: np.ndarray, place: np.ndarray, hashes: np.ndarray | None = None) -> bytes:
+    """Windows in order of text: the texts in use, how many windows each has, their places and, if given, hashes."""
+    used, counts = np.unique(text, return_counts=True)
+    parts = np.array([len(used), len(text)], np.int64), ids[used], sums[used], counts.astype(np.int32)
+    return b"".join([*(x.tobytes() for x in parts), _planes(place), b"" if hashes is None else hashes.tobytes()])
 
 
-def _runs(ids: np.ndarray, sums: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """A row for each text: its removed windows' places as 32-bit integers."""
-    by = np.lexsort((place, sums, ids))
-    ids, sums, place = ids[by], sums[by], place[by].astype("<i4")
-    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1])))) if len(ids) else np.zeros(0, int)
-    blobs = [x.tobytes() for x in np.split(place, first[1:])] if len(first) else []
-    return pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(sums[first]), pa.array(blobs, pa.binary())], names=["id", "sum", "places"])
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    """ids, sums, places and the hashes, if any, of each window."""
+    n, m = map(int, np.frombuffer(blob, np.int64, 2))
+    ids, sums = np.frombuffer(blob, np.int64, 2 * n, 16).reshape(2, n)
+    counts = np.frombuffer(blob, np.int32, n, at := 16 + 16 * n)
+    planes = np.frombuffer(blob, np.uint8, 4 * m, at := at + 4 * n).reshape(4, m)
+    place = np.cumsum(np.ascontiguousarray(planes.T).view("<i4")[:, 0], dtype=np.int32)
+    return np.repeat(ids, counts), np.repeat(sums, counts), place, np.frombuffer(blob, np.uint64, -1, at + 4 * m) if len(blob) > at + 4 * m else np.zeros(0, np.uint64)
+
+
+def _by_text(ids: np.ndarray, sums: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Removed windows packed for the bucket of each text."""
+    order = np.lexsort((place, sums, ids))
+    ids, sums, place = ids[order], sums[order], place[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1])
+    text, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    to = sums % buckets
+    by = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[by], np.arange(buckets + 1))
+    rows = [(int(b), by[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut))]
+    blobs = [_pack(ids[first], sums[first], text[r], place[r]) for _, r in rows]
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
 
 def hash_windows(texts: DataFrame, window: int, buckets: int) -> DataFrame:
-    """bucket, blob: the windows of (id, sum, text), of equal ones of a task only the first; those after it with bucket -1 - (bucket)."""
+    """bucket, blob: the windows of (id, sum, text), of equal ones of a task only the first; gone: those after it, by bucket of their text."""
 
     def flush(ids: np.ndarray, sums: np.ndarray, text: np.ndarray, place: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
         gone = np.zeros(len(hashes), bool)
@@ -80,7 +92,7 @@ def hash_windows(texts: DataFrame, window: int, buckets: int) -> DataFrame:
         by = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[by], np.arange(2 * buckets + 1))
         rows = [(b, by[cut[b] : cut[b + 1]]) for b in np.flatnonzero(np.diff(cut))]
-        blobs = [_pack(ids, sums, text[r], place[r], hashes[r] if b < buckets else hashes[:0]) for b, r in rows]
+        blobs = [_pack(ids, sums, text[r], place[r], hashes[r] if b < buckets else None) for b, r in rows]
         return pa.RecordBatch.from_arrays(
             [pa.array([int(b) % buckets for b, _ in rows], pa.int32()), pa.array([bool(b >= buckets) for b, _ in rows]), pa.array(blobs, pa.binary())], names=["bucket", "gone", "blob"]
         )
@@ -103,25 +115,36 @@ def hash_windows(texts: DataFrame, window: int, buckets: int) -> DataFrame:
     return texts.mapInArrow(run, "bucket int, gone boolean, blob binary")
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, sum, places: of each text the windows that another one precedes; one bucket of hashes is one partition."""
-    parts = []
-    for batch in batches:
-        for gone, blob in zip(batch.column("gone").to_pylist(), batch.column("blob")):
-            if gone:
-                n, m = np.frombuffer(blob.as_buffer(), np.int64, 2)
-                raw, at, out = blob.as_buffer(), 16, []
-                for kind, k in ((np.int64, n), (np.int64, n), (np.int32, n), (np.int32, m)):
-                    out.append(np.frombuffer(raw, kind, int(k), at))
-                    at += out[-1].nbytes
-                yield _runs(np.repeat(out[0], out[2]), np.repeat(out[1], out[2]), out[3])
-            else:
-                parts.append(_unpack(blob.as_py()))
-    if parts:
-        ids, sums, place, hashes = map(np.concatenate, zip(*parts))
-        del parts
-        go = later(hashes, ids, sums, place)
-        yield _runs(ids[go], sums[go], place[go])
+def _judged(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """bucket (of texts), blob: windows that another one precedes; one bucket of hashes is one partition."""
+        parts = []
+        for batch in batches:
+            gone = batch.column("gone")
+            yield batch.filter(gone).select(["bucket", "blob"])
+            parts += [_unpack(b) for b in batch.filter(pc.invert(gone)).column("blob").to_pylist()]
+        if parts:
+            ids, sums, place, hashes = map(np.concatenate, zip(*parts))
+            del parts
+            go = later(hashes, ids, sums, place)
+            yield _by_text(ids[go], sums[go], place[go], buckets)
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, sum, places: a row for each text that loses windows."""
+    parts = [_unpack(b)[:3] for batch in batches for b in batch.column("blob").to_pylist()]
+    if not parts:
+        return
+    ids, sums, place = map(np.concatenate, zip(*parts))
+    order = np.lexsort((place, sums, ids))
+    ids, sums, place = ids[order], sums[order], place[order].astype("<i4")
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (sums[1:] != sums[:-1])
+    first = np.flatnonzero(new)
+    blobs = [_planes(x) for x in np.split(place, first[1:])] if len(first) else []
+    yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(sums[first]), pa.array(blobs, pa.binary())], names=["id", "sum", "sd_places"])
 
 
 def remove_repeats(
@@ -144,8 +167,8 @@ def remove_repeats(
     plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL))).alias("id"), F.xxhash64(text).alias("sum"), F.col(text).alias("text"))
     buckets = bucket_count(docs, 3.0)
     hashed = hash_windows(plain, window, buckets)
-    gone = hashed.repartitionById(buckets, "bucket").mapInArrow(_judge, "id long, sum long, places binary")
-    by = gone.groupBy("id", "sum").agg(F.collect_list("places").alias("sd_places"))
+    gone = hashed.repartitionById(buckets, "bucket").mapInArrow(_judged(buckets), "bucket int, blob binary")
+    by = gone.repartitionById(buckets, "bucket").mapInArrow(_gathered, "id long, sum long, sd_places binary")
     rows = docs.select(*carried, *([] if text in carried else [text]), F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL))).alias("sd_id"), F.xxhash64(text).alias("sd_sum"))
     joined = rows.join(by, (F.col("sd_id") == by["id"]) & (F.col("sd_sum") == by["sum"]), "left").drop("id", "sum", "sd_id", "sd_sum")
 
@@ -161,7 +184,7 @@ def remove_repeats(
                     spans.append([])
                     kept.append(b" ".join(words))
                     continue
-                starts = np.frombuffer(b"".join(places), "<i4")
+                starts = np.cumsum(np.ascontiguousarray(np.frombuffer(places, np.uint8).reshape(4, -1).T).view("<i4")[:, 0])
                 cover = np.zeros(len(words) + 1, np.int64)
                 np.add.at(cover, starts, 1)
                 np.subtract.at(cover, starts + window, 1)
