@@ -1,0 +1 @@
+"""Scalar functions: rounding, hash-seeded draws, colours, geometry predicates."""

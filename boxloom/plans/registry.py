@@ -1,4 +1,15 @@
 """Queries of the library's own operators and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import box_queries, join_queries
+from .base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "flagship"]
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copy-move candidates of every box."""
+    return join_queries.j3(spark, sf_dir)
