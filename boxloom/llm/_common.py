@@ -62,6 +62,11 @@ def extended(df: DataFrame, columns: list[str] | None, ddl: str) -> T.StructType
     return T.StructType([*kept, *new])
 
 
+def refuse_prefix(columns: list[str], prefix: str) -> None:
+    if clash := [c for c in columns if c.lower().startswith(prefix.lower())]:
+        raise ValueError(f"columns {clash} begin like the operator's own: choose another prefix")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Rolling, bucket_count, byte_values, extended, mix, read, slices, utf8
+from ._common import Rolling, bucket_count, byte_values, extended, mix, read, refuse_prefix, slices, utf8
 from .suffixes import permuted_common_prefixes, suffix_array
 
 WIDTH, GRAM = 400, 32
@@ -208,10 +208,11 @@ def remove_repeats(
     (binary: the other bytes; a cut may fall inside a character). Strings don't cross rows and are judged on the input.
 
     Null and empty texts have no bytes. Rows with equal keys and equal texts are one document; rows with equal keys and
-    different texts are told apart by a hash of the text; a null key is a key; an empty table gives an empty one; a column called
-    like a new one is an error. key is a whole number.
+    different texts are told apart by a hash of the text; a null key is a key; an empty table gives an empty one; a column whose
+    name begins with sx_ or is a new one's is an error. key is a whole number.
     """
     carried = docs.columns if keep is None else keep
+    refuse_prefix([*carried, text], "sx_")
     schema = extended(docs, carried, f"{prefix}n_bytes long, {prefix}n_removed long, {prefix}spans array<struct<start:int,end:int>>, {prefix}kept binary")
     gram = min(GRAM, width)
     buckets = bucket_count(docs, 1.5)
@@ -243,7 +244,7 @@ def remove_repeats(
 
     plain = rows.select("sx_id", "sx_check", F.col(text).alias("text"))
     counted = plain.mapInArrow(find, "bucket int, blob binary").repartitionById(buckets, "bucket").mapInArrow(_count, "id long, check long, found binary")
-    found = counted.groupBy("id", "check").agg(F.collect_list("found").alias("sx_found"))
+    found = counted.groupBy("id", "check").agg(F.collect_list("found").alias("sx_found")).toDF("sx_by_id", "sx_by_check", "sx_found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bytes], list] = {}
@@ -284,11 +285,12 @@ def remove_repeats(
         if held:
             yield flush()
 
-    texts = rows.join(found, (F.col("sx_id") == found["id"]) & (F.col("sx_check") == found["check"])).select("sx_id", "sx_check", F.col(text).alias("text"), "sx_found")
+    texts = rows.join(found, F.expr("sx_id = sx_by_id AND sx_check = sx_by_check")).select("sx_id", "sx_check", F.col(text).alias("text"), "sx_found")
     cuts = texts.mapInArrow(cut, "bucket int, key long, piece binary, places binary")
     judged = cuts.repartitionById(buckets, "bucket").mapInArrow(_sorted_shards(width), "id long, check long, starts binary")
-    by = judged.groupBy("id", "check").agg(F.collect_list("starts").alias("sx_starts"))
-    joined = rows.join(by, (F.col("sx_id") == by["id"]) & (F.col("sx_check") == by["check"]), "left").select(*carried, *([] if text in carried else [text]), "sx_starts")
+    by = judged.groupBy("id", "check").agg(F.collect_list("starts").alias("sx_starts")).toDF("sx_by_id", "sx_by_check", "sx_starts")
+    same = F.expr("sx_id = sx_by_id AND sx_check = sx_by_check")
+    joined = rows.join(by, same, "left").select(*carried, *([] if text in carried else [text]), "sx_starts")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

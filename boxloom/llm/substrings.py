@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Rolling, bucket_count, byte_values, extended, mix, read, slices, utf8, word_bounds
+from ._common import Rolling, bucket_count, byte_values, extended, mix, read, refuse_prefix, slices, utf8, word_bounds
 
 WINDOW = 20
 #: Windows that a task gathers before it counts them and passes the distinct ones on.
@@ -43,26 +43,34 @@ def later(hashes: np.ndarray, *order: np.ndarray) -> np.ndarray:
     return some[1:][h[1:] == h[:-1]]
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Differences of 32-bit numbers, all lowest bytes first: what is left of the others compresses well."""
-    return np.diff(x.astype("<i4"), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planes(x: np.ndarray, kind: str = "<i4") -> bytes:
+    """Differences of whole numbers, all lowest bytes first: what is left of the others compresses well."""
+    x = x.astype(kind)
+    return np.diff(x, prepend=x.dtype.type(0)).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _from_planes(blob: bytes, n: int, at: int = 0, kind: str = "<i4") -> tuple[np.ndarray, int]:
+    """The numbers, and where their bytes end."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(blob, np.uint8, size * n, at).reshape(size, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind)[:, 0], dtype=kind), at + size * n
 
 
 def _pack(ids: np.ndarray, sums: np.ndarray, text: np.ndarray, place: np.ndarray, hashes: np.ndarray | None = None) -> bytes:
     """Windows in order of text: the texts in use, how many windows each has, their places and, if given, hashes."""
     used, counts = np.unique(text, return_counts=True)
-    parts = np.array([len(used), len(text)], np.int64), ids[used], sums[used], counts.astype(np.int32)
-    return b"".join([*(x.tobytes() for x in parts), _planes(place), b"" if hashes is None else hashes.tobytes()])
+    parts = np.array([len(used), len(text)], np.int64).tobytes(), sums[used].astype("<u4").tobytes(), _planes(ids[used], "<i8"), _planes(counts), _planes(place)
+    return b"".join([*parts, b"" if hashes is None else hashes.tobytes()])
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     """ids, sums, places and the hashes, if any, of each window."""
     n, m = map(int, np.frombuffer(blob, np.int64, 2))
-    ids, sums = np.frombuffer(blob, np.int64, 2 * n, 16).reshape(2, n)
-    counts = np.frombuffer(blob, np.int32, n, at := 16 + 16 * n)
-    planes = np.frombuffer(blob, np.uint8, 4 * m, at := at + 4 * n).reshape(4, m)
-    place = np.cumsum(np.ascontiguousarray(planes.T).view("<i4")[:, 0], dtype=np.int32)
-    return np.repeat(ids, counts), np.repeat(sums, counts), place, np.frombuffer(blob, np.uint64, -1, at + 4 * m) if len(blob) > at + 4 * m else np.zeros(0, np.uint64)
+    sums = np.frombuffer(blob, "<u4", n, 16).astype(np.int64)
+    ids, at = _from_planes(blob, n, 16 + 4 * n, "<i8")
+    counts, at = _from_planes(blob, n, at)
+    place, at = _from_planes(blob, m, at)
+    return np.repeat(ids, counts), np.repeat(sums, counts), place, np.frombuffer(blob, np.uint64, -1, at) if len(blob) > at else np.zeros(0, np.uint64)
 
 
 def _by_text(ids: np.ndarray, sums: np.ndarray, place: np.ndarray, buckets: int) -> pa.RecordBatch:
@@ -156,21 +164,23 @@ def remove_repeats(
     and kept (the other words, joined by one space). Words are [^\\x20\\x09-\\x0D]+. Windows are judged on the input.
 
     Null and empty texts have no words. Rows with equal keys and equal texts are one document and keep what it keeps; rows with
-    equal keys and different texts are in order of a hash of the text. A null key comes before all others. An empty table gives
-    an empty one; a column called like a new one is an error. key is a whole number.
+    equal keys and different texts are in order of 32 bits of a hash of the text. A null key comes before all others. An empty table gives
+    an empty one; a column whose name begins with sd_ or is a new one's is an error. key is a whole number.
 
     Window hashes have 64 bits: among 10**9 windows two different ones fall together with a chance of 3 in 100, so of 10**12
     some 30,000 windows would be removed wrongly.
     """
     carried = docs.columns if keep is None else keep
+    refuse_prefix([*carried, text], "sd_")
     schema = extended(docs, carried, f"{prefix}n_words long, {prefix}n_removed long, {prefix}spans array<struct<start:int,end:int>>, {prefix}kept string")
-    plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL))).alias("id"), F.xxhash64(text).alias("sum"), F.col(text).alias("text"))
+    check = F.xxhash64(text).bitwiseAND(F.lit((1 << 32) - 1))
+    plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL))).alias("id"), check.alias("sum"), F.col(text).alias("text"))
     buckets = bucket_count(docs, 3.0)
     hashed = hash_windows(plain, window, buckets)
     gone = hashed.repartitionById(buckets, "bucket").mapInArrow(_judged(buckets), "bucket int, blob binary")
-    by = gone.repartitionById(buckets, "bucket").mapInArrow(_gathered, "id long, sum long, sd_places binary")
-    rows = docs.select(*carried, *([] if text in carried else [text]), F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL))).alias("sd_id"), F.xxhash64(text).alias("sd_sum"))
-    joined = rows.join(by, (F.col("sd_id") == by["id"]) & (F.col("sd_sum") == by["sum"]), "left").drop("id", "sum", "sd_id", "sd_sum")
+    by = gone.repartitionById(buckets, "bucket").mapInArrow(_gathered, "id long, sum long, sd_places binary").toDF("sd_by_id", "sd_by_sum", "sd_places")
+    rows = docs.select(*carried, *([] if text in carried else [text]), F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL))).alias("sd_id"), check.alias("sd_sum"))
+    joined = rows.join(by, F.expr("sd_id = sd_by_id AND sd_sum = sd_by_sum"), "left").drop("sd_id", "sd_sum", "sd_by_id", "sd_by_sum")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans_of = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -184,7 +194,7 @@ def remove_repeats(
                     spans.append([])
                     kept.append(b" ".join(words))
                     continue
-                starts = np.cumsum(np.ascontiguousarray(np.frombuffer(places, np.uint8).reshape(4, -1).T).view("<i4")[:, 0])
+                starts, _ = _from_planes(places, len(places) // 4)
                 cover = np.zeros(len(words) + 1, np.int64)
                 np.add.at(cover, starts, 1)
                 np.subtract.at(cover, starts + window, 1)
