@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 SENTINEL = -100
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with value computed once even if body uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def half_even(x: Column, digits: int = 2) -> Column:
     """Rounds half to even on the decimal value; Python's round looks at the binary one and differs on some ties."""
     return F.bround(x, digits)

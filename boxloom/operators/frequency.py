@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import bound
+
 #: The luminance table of the JPEG standard, row by row: fixed values.
 LUMINANCE = (
     16, 11, 10, 16, 24, 40, 51, 61,
@@ -36,13 +38,17 @@ def dct(block: Column, shift: float = 0.0) -> Column:
     """64 coefficients of an array of 64 values, less shift."""
     rows = F.array(*(F.array(*map(F.lit, r)) for r in basis()))
     moved = F.transform(block, lambda x: x.cast("double") - shift)
-    return F.transform(rows, lambda r: F.aggregate(F.zip_with(r, moved, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
+    return bound(moved, lambda m: F.transform(rows, lambda r: _inner(r, m)))
+
+
+def _inner(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
 def inverse_dct(coefficients: Column, shift: float = 0.0) -> Column:
     b = basis()
     columns = F.array(*(F.array(*(F.lit(b[k][n]) for k in range(64))) for n in range(64)))
-    return F.transform(columns, lambda r: F.aggregate(F.zip_with(r, coefficients, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) + shift)
+    return bound(coefficients, lambda c: F.transform(columns, lambda r: _inner(r, c) + shift))
 
 
 def in_zigzag(block: Column) -> Column:
@@ -63,7 +69,7 @@ def quantise(coefficients: Column, table: Column, most: int = 20) -> Column:
 
 def volume(levels: Column, top: int = 20) -> Column:
     """One-hot channels 0 to top, as counts of the block's levels."""
-    return F.transform(F.sequence(F.lit(0), F.lit(top)), lambda t: F.size(F.filter(levels, lambda v: v == t)))
+    return bound(levels, lambda a: F.transform(F.sequence(F.lit(0), F.lit(top)), lambda t: F.size(F.filter(a, lambda v: v == t))))
 
 
 def haar(block: Column) -> dict[str, Column]:
@@ -138,9 +144,8 @@ def merged(tile_pixels: DataFrame, key: list[str]) -> DataFrame:
 def soft_encoding(df: DataFrame, vector: str, codewords: list[list[float]], scale: float = 1.0) -> Column:
     """Softmax over codewords of the scaled squared distance."""
     far = F.array(*(F.aggregate(F.zip_with(vector, F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) for c in codewords))
-    least = F.array_min(far)
-    e = F.transform(far, lambda d: F.exp(-scale * (d - least)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    raised = bound(far, lambda f: bound(F.array_min(f), lambda least: F.transform(f, lambda d: F.exp(-scale * (d - least)))))
+    return bound(raised, lambda e: bound(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda total: F.transform(e, lambda x: x / total)))
 
 
 def parameter_rows(spark: SparkSession, values: dict[str, list]) -> DataFrame:
