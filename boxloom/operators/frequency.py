@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import bound
 
@@ -34,21 +37,24 @@ def zigzag() -> list[int]:
     return [8 * y + x for y, x in sorted(cells, key=lambda p: (p[0] + p[1], p[1] if (p[0] + p[1]) % 2 == 0 else p[0]))]
 
 
-def dct(block: Column, shift: float = 0.0) -> Column:
-    """64 coefficients of an array of 64 values, less shift."""
-    rows = F.array(*(F.array(*map(F.lit, r)) for r in basis()))
-    moved = F.transform(block, lambda x: x.cast("double") - shift)
-    return bound(moved, lambda m: F.transform(rows, lambda r: _inner(r, m)))
+def _projection(matrix: np.ndarray, before: float, after: float):
+    """Arrow batches of blocks by one matrix product each: some hundred times as fast as a lambda for each of 4,096 products."""
+
+    def run(blocks: pd.Series) -> pd.Series:
+        if not len(blocks):
+            return pd.Series([], dtype=object)
+        return pd.Series(list((np.stack(blocks.to_numpy()).astype(float) - before) @ matrix + after))
 
+    return F.pandas_udf(run, T.ArrayType(T.DoubleType()))
 
-def _inner(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+def dct(block: Column, shift: float = 0.0) -> Column:
+    """64 coefficients of an array of 64 values, less shift. Null blocks must be dropped before."""
+    return _projection(np.array(basis()).T, shift, 0.0)(block)
 
 
 def inverse_dct(coefficients: Column, shift: float = 0.0) -> Column:
-    b = basis()
-    columns = F.array(*(F.array(*(F.lit(b[k][n]) for k in range(64))) for n in range(64)))
-    return bound(coefficients, lambda c: F.transform(columns, lambda r: _inner(r, c) + shift))
+    return _projection(np.array(basis()), 0.0, shift)(coefficients)
 
 
 def in_zigzag(block: Column) -> Column:
