@@ -260,8 +260,8 @@ def remove_repeats(
                 columns[3].append(b"".join(np.array(x, y).tobytes() for x, y in ((ids, "<i8"), (check, "<i8"), (first, "<i4"))))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "key", "piece", "places"])
 
-        for batch in slices(batches, "text"):
-            data, offsets = utf8(batch.column("text"))
+        for batch in slices(batches, text):
+            data, offsets = utf8(batch.column(text))
             usual, hot = np.zeros(len(data), bool), np.zeros(len(data), bool)
             for at, blobs in zip(offsets.tolist(), batch.column("sx_found").to_pylist()):
                 for a, b, is_hot in np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 3).tolist():
@@ -285,7 +285,8 @@ def remove_repeats(
         if held:
             yield flush()
 
-    texts = rows.join(found, F.expr("sx_id = sx_by_id AND sx_check = sx_by_check")).select("sx_id", "sx_check", F.col(text).alias("text"), "sx_found")
+    # the same columns as below, though some aren't looked at, so that both joins read one exchange of the texts
+    texts = rows.join(found, F.expr("sx_id = sx_by_id AND sx_check = sx_by_check")).select(*rows.columns, "sx_found")
     cuts = texts.mapInArrow(cut, "bucket int, key long, piece binary, places binary")
     judged = cuts.repartitionById(buckets, "bucket").mapInArrow(_sorted_shards(width), "id long, check long, starts binary")
     by = judged.groupBy("id", "check").agg(F.collect_list("starts").alias("sx_starts")).toDF("sx_by_id", "sx_by_check", "sx_starts")
