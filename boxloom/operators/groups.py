@@ -5,28 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.durable import durable
+
 SHAPE = ["len_text", "Width", "Height"]
 
 
-def array_split(df: DataFrame, order: list[str], shards: int) -> DataFrame:
-    """shard from 0: rows in order in parts of sizes that differ by one at most, the larger ones first.
+def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """at: each row's place from 0 among those of its keys in order; n_rows: how many there are.
 
-    Ranks come from a range-partitioned sort and a count of each partition, so no task sees all rows; where a row stands is
-    its partition's offset and its rank there. The offsets are a row for each partition.
+    Rows are sorted by range partitioning, which splits hot keys; a place is the rank in the partition plus the rows of the key in
+    partitions before it. The sorted rows are checkpointed, as ranks and counts must come from one and the same division.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-    w = Window.partitionBy("part")
-    ranked = placed.withColumn("rank", F.row_number().over(w.orderBy(*order)))
-    sizes = ranked.groupBy("part").agg(F.max("rank").cast("long").alias("n"))
-    # one row for each partition: a window over all of them is small
-    offsets = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    total = offsets.agg(F.sum("n")).first()[0] or 0
-    small, larger = divmod(total, shards)
-    at = F.col("before") + F.col("rank") - 1
+    placed = durable(df.repartitionByRange(parts, *keys, *order).withColumn("part", F.spark_partition_id()))
+    own = placed.withColumn("rank", F.row_number().over(Window.partitionBy("part", *keys).orderBy(*order)))
+    sizes = placed.groupBy("part", *keys).agg(F.count(F.lit(1)).alias("n_part"))
+    # a row for each partition and key
+    w = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("n_part").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("part", *keys, before.alias("before"), F.sum("n_part").over(w).alias("n_rows"))
+    same = F.col("x.part") == F.col("y.part")
+    for k in keys:
+        same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
+    joined = own.alias("x").join(sizes.alias("y"), same)
+    return joined.select(*(F.col(f"x.{c}") for c in df.columns), (F.col("y.before") + F.col("x.rank") - 1).alias("at"), F.col("y.n_rows").alias("n_rows"))
+
+
+def array_split(df: DataFrame, order: list[str], shards: int) -> DataFrame:
+    """shard from 0: rows in order in parts of sizes that differ by one at most, the larger ones first."""
+    small, larger = F.floor(F.col("n_rows") / shards), F.col("n_rows") % shards
     edge = larger * (small + 1)
-    shard = F.when(at < edge, F.expr(f"cast((before + rank - 1) div {small + 1} as int)")).otherwise(F.lit(larger) + F.expr(f"cast((before + rank - 1 - {edge}) div {max(1, small)} as int)"))
-    return ranked.join(F.broadcast(offsets.select("part", "before")), "part").withColumn("shard", shard.cast("int")).withColumn("at", at).drop("part", "rank", "before")
+    shard = F.when(F.col("at") < edge, F.floor(F.col("at") / (small + 1))).otherwise(larger + F.floor((F.col("at") - edge) / F.greatest(small, F.lit(1))))
+    return ranked(df, [], order).withColumn("shard", shard.cast("int")).drop("n_rows")
 
 
 def valid_groups(df: DataFrame, keys: list[str] = SHAPE, least: int = 4) -> DataFrame:
@@ -44,8 +54,5 @@ def describe(df: DataFrame, column: str) -> DataFrame:
 
 def chunks(df: DataFrame, keys: list[str], order: list[str], size: int = 2000) -> DataFrame:
     """chunk from 0 of each group's rows in order; the last two chunks of a group are one."""
-    w = Window.partitionBy(*keys)
-    n = F.count(F.lit(1)).over(w)
-    at = F.row_number().over(w.orderBy(*order)) - 1
-    last = F.greatest(F.ceil(n / size) - 2, F.lit(0))
-    return df.withColumn("chunk", F.least(F.floor(at / size), last).cast("int"))
+    last = F.greatest(F.ceil(F.col("n_rows") / size) - 2, F.lit(0))
+    return ranked(df, keys, order).withColumn("chunk", F.least(F.floor(F.col("at") / size), last).cast("int")).drop("at", "n_rows")

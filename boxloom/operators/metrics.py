@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .groups import ranked
+
 #: Image-level thresholds.
 CLASS_THRESHOLDS = tuple(round(0.2 + 0.05 * i, 2) for i in range(14))
 
@@ -86,10 +88,17 @@ def hard_mean(df: DataFrame, by: list[str], p: Column, y: Column, key: str, thre
     return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n_hard"), F.round(F.avg(-F.log(F.greatest("q", F.lit(1e-12)))), 9).alias("loss"))
 
 
-def running_mean(df: DataFrame, by: str, order: list[str], value: str, width: int) -> DataFrame:
-    """Mean of the last width values up to each, anew for each by."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(-(width - 1), 0)
-    return df.withColumn("running", F.avg(value).over(w))
+def running_mean(df: DataFrame, by: str, order: list[str], value: str, width: int, block: int = 100_000) -> DataFrame:
+    """running: mean of the last width values up to each, anew for each by.
+
+    Rows are taken in blocks of their places, each with the width - 1 rows before it, so no task sees all rows of a hot by.
+    """
+    block = max(block, width)
+    r = ranked(df, [by], order).withColumn("block", F.floor(F.col("at") / block))
+    tail = (F.col("at") % block >= block - width + 1) & ((F.col("block") + 1) * block < F.col("n_rows"))
+    both = r.withColumn("in", F.explode(F.when(tail, F.array("block", F.col("block") + 1)).otherwise(F.array("block"))))
+    w = Window.partitionBy(by, "in").orderBy("at").rowsBetween(-(width - 1), 0)
+    return both.withColumn("running", F.avg(value).over(w)).where(F.col("in") == F.col("block")).select(*df.columns, "running")
 
 
 def learning_rate(step: Column, warm: int, total: int, base: float, floor: float) -> Column:

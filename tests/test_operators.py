@@ -195,5 +195,18 @@ def test_local_mean_is_brute_mean():
     assert np.allclose(m, [[v.mean() for v in r] for r in w]) and np.allclose(s, [[v.std() for v in r] for r in w])
 
 
+def test_running_mean_over_blocks(spark):
+    d = spark.range(500).select("id", (F.col("id") % 2).alias("g"), (F.col("id") * 7 % 101).cast("double").alias("v"))
+    rows = sorted(d.collect())
+    want = {}
+    for g in (0, 1):
+        v = [r.v for r in rows if r.g == g]
+        ids = [r.id for r in rows if r.g == g]
+        want |= {i: sum(v[max(0, k - 9) : k + 1]) / len(v[max(0, k - 9) : k + 1]) for k, i in enumerate(ids)}
+    for block in (10, 64, 10**6):
+        got = {r.id: r.running for r in metrics.running_mean(d, "g", ["id"], "v", 10, block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_flagship(spark):
     assert {"filename", "box_id", "n_candidates", "first_candidate"} == set(candidates.copy_move(bridges.boxes(spark, SF)).columns)
