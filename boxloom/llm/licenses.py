@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -142,7 +143,7 @@ SINGLE = (
 
 #: A text without any of these has no license words; each rule's pattern holds at least one.
 KEYWORDS = tuple(x.encode() for x in (
-    "licen", "lizenz", "spdx", "copyright", "rights", "rechte", "droits", "derechos", "creative commons", "cc by", "cc0", "public domain", "permission", "redistribut", "released", "distributed", "published", "available", "provided", "subject to",
+    "licen", "lizenz", "spdx", "copyright", "rights", "rechte", "droits", "derechos", "creative commons", "cc by", "cc attribution", "cc0", "public domain", "permission", "redistribut", "released", "distributed", "published", "available", "provided", "subject to",
     "free software", "personal and", "confidential", "eula", "reproduced",
 ))
 
@@ -193,17 +194,24 @@ def detect(line: str) -> list[tuple[int, int, Rule]]:
         if rule.keyword in line and (named or n >= len(rules()) - len(SINGLE)):
             found += [(rule.priority, m.start() - m.end(), m.start(), n, m.end(), rule) for m in rule.pattern.finditer(line)]
     kept: list[tuple[int, int, Rule]] = []
+    longest = 0
     for *_, start, _, end, rule in sorted(found, key=lambda x: x[:4]):
-        if not any(a <= start and end <= b for a, b, _ in kept):
-            kept.append((start, end, rule))
-    return sorted(kept, key=lambda x: x[:2])
+        # only a kept one that starts within the longest one's length before end can hold this one
+        at = bisect_right(kept, start, key=lambda x: x[0])
+        while at and kept[at - 1][0] >= end - longest and kept[at - 1][1] < end:
+            at -= 1
+        if not at or kept[at - 1][0] < end - longest:
+            insort(kept, (start, end, rule), key=lambda x: x[:2])
+            longest = max(longest, end - start)
+    return kept
 
 
 def places(line: bytes, phrase: bytes) -> Iterator[int]:
-    """Byte positions at which the words of phrase stand in a line with a space before and after each word."""
-    at = line.find(phrase)
+    """Words at which the phrase's words start in a line with a space before and after each word."""
+    word, before, at = 0, 0, line.find(phrase)
     while at >= 0:
-        yield at
+        word, before = word + line.count(b" ", before, at), at
+        yield word
         at = line.find(phrase, at + 1)
 
 
@@ -211,12 +219,13 @@ def scan(text: str | None) -> tuple:
     """n_words, base places as (word, label), detections as (label, first word, last word + 1, score)."""
     words = (text or "").encode().translate(ALNUM).split()
     line = b" %s " % b" ".join(words) if words else b" "
-    base = [(line.count(b" ", 0, p + 1) - 1, label) for phrase, label in BASE.items() for p in places(line, b" %s " % phrase.encode())]
+    base = [(p, label) for phrase, label in BASE.items() for p in places(line, b" %s " % phrase.encode())]
     found = []
     if any(k in line for k in KEYWORDS):
         plain = line.decode()
+        first, before = -1, 0
         for start, end, rule in detect(plain):
-            first = plain.count(" ", 0, start) - 1
+            first, before = first + plain.count(" ", before, start), start
             found.append((rule.label, first, first + plain.count(" ", start, end) + 1, rule.score))
     return len(words), sorted(base), found
 
