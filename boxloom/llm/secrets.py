@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -68,9 +69,10 @@ def candidates(text: str) -> list[Candidate]:
         if keyword in text:
             for m in pattern.finditer(text):
                 a, b = m.span("s")
-                if all(b <= c.start or c.end <= a for c in found):
-                    found.append(Candidate(a, b, kind))
-    return sorted(found)
+                at = bisect_left(found, (a,))
+                if (at == 0 or found[at - 1].end <= a) and (at == len(found) or b <= found[at].start):
+                    found.insert(at, Candidate(a, b, kind))
+    return found
 
 
 def features(text: str, c: Candidate, path: str) -> list[float]:
