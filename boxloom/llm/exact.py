@@ -46,8 +46,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, width: int,
     hashes = mix(rolling.windows(gram))
     if n < 1 << 24:
         value = (hashes & ~_PLACE) | np.arange(len(hashes), dtype=np.uint64)
-    else:  # one very long text: order of hashes, then places
-        order = np.argsort(hashes, kind="stable")
+    else:  # one very long text: the same order, by the bits of hashes that are left above, then places
+        order = np.argsort(hashes & ~_PLACE, kind="stable")
         value = np.empty(len(hashes), np.uint64)
         value[order] = np.arange(len(hashes), dtype=np.uint64)
     blocks = -(-len(value) // span) + 1
