@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,8 +23,6 @@ ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 4
 CALIBRATION = 0.2
 PIECE = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 def counts_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Features of the whole text and how often each occurs. Characters are lower-cased; a run of space is one space.
@@ -180,7 +177,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "li
         for batch in batches:
             pred, score = [], []
             for t in batch.column(text).to_pylist():
-                if not t or not model.languages or not _LETTER.search(t):
+                if not t or not model.languages or not any(map(str.isalpha, t)):
                     pred.append("und")
                     score.append(0.0)
                     continue
