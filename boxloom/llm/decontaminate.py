@@ -111,11 +111,11 @@ def decontaminate(
     (array<struct<start,end>>: code point ranges of the original text, merged) and contaminated.
 
     The benchmark is a stated query set that the driver reads; BLOCK_BYTES bounds an automaton, and more text makes more
-    automata. Null or empty texts have no words and no hits; items without words match nothing; rows are judged one by
+    automata. Null or empty texts have no words and no hits; items without words match nothing; a null item is the empty string; rows are judged one by
     one, so repeated rows get equal results; an empty table gives an empty one. Columns of docs stay as they are; one
     that is called like a new column is an error.
     """
-    rows = sorted((str(r[0]), r[1] or "") for r in benchmark.select(F.col(item).cast("string"), F.col(item_text)).collect())
+    rows = sorted((str(r[0]), r[1] or "") for r in benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(item_text)).collect())
     parts = blocks(rows, BLOCK_BYTES)
     schema = extended(
         docs,
@@ -163,7 +163,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH b AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark),
 bw AS (
   SELECT DISTINCT item, array_to_string(w[i:least(i + 9, len(w))], ' ') AS g, least(10, len(w)) AS k
