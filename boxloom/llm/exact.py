@@ -5,7 +5,8 @@ Suffixes are dealt to shards by content, so that equal long strings meet in one
 1. Of every window of the given width the smallest hash of a short gram is its anchor. Starts next to each other with one anchor
    are a piece; its key is a hash of the bytes that all windows of the anchor's half (left or right) share. Equal windows
    have equal keys, so a key that only one piece has can't repeat: pieces are counted by key, without their bytes.
-2. Pieces of repeated keys travel with their bytes, each distinct one of a task once, to the shard of their key.
+2. Pieces of repeated keys travel with their bytes, each distinct one of a task once, to the shard of their key. A piece that a task finds
+   in more than two places repeats: two of them travel with it, the others go straight to their texts.
 3. Each shard sorts its suffixes by induction and computes permuted common prefixes; a start repeats if its suffix has the width in
    common with a neighbour's, or its piece stands in two places. This is exact: hashes only choose shards.
 """
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +104,7 @@ def _groups(kinds: tuple, blob: bytes) -> list[np.ndarray]:
 
 
 _KINDS = ("<u8", "<u8", "<i8", "<i8", "<i4", "<i4")  # key, sum, id, check, first, last
+_RUNS = ("<i8", "<i8", "<i4", "<i4")  # id, check, first, end
 
 
 def _cut(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -158,6 +161,10 @@ def _sorted_shards(width: int):
         of: dict[bytes, list] = {}
         keys: dict[int, list[bytes]] = {}
         for batch in batches:
+            known = pc.is_null(batch.column("piece"))
+            if blobs := batch.filter(known).column("places").to_pylist():
+                yield _by_text(blobs)
+                batch = batch.filter(pc.invert(known))
             for key, piece, places in zip(batch.column("key").to_pylist(), batch.column("piece").to_pylist(), batch.column("places").to_pylist()):
                 if piece not in of:
                     of[piece] = []
@@ -192,6 +199,15 @@ def _sorted_shards(width: int):
     return run
 
 
+def _by_text(blobs: list[bytes]) -> pa.RecordBatch:
+    """id, check, starts of packed runs of starts that are known to repeat."""
+    ids, check, first, end = map(np.concatenate, zip(*(_groups(_RUNS, b) for b in blobs)))
+    order = np.lexsort((first, check, ids))
+    ids, check, runs = ids[order], check[order], np.stack([first[order], end[order]], axis=1)
+    at = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (check[1:] != check[:-1]))))
+    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(check[at]), pa.array([x.tobytes() for x in np.split(runs, at[1:])], pa.binary())], names=["id", "check", "starts"])
+
+
 def _joined(parts: list[bytes]) -> bytes:
     """Packed places of several tasks as one."""
     if len(parts) > 1:
@@ -252,12 +268,21 @@ def remove_repeats(
 
         def flush() -> pa.RecordBatch:
             columns = [], [], [], []
+            known = []
             for (k, piece), places in held.items():
-                ids, check, first = zip(*places)
+                if len(places) > 2:
+                    places = list(dict.fromkeys(places))
+                    known += [(*p, p[2] + len(piece) - width + 1) for p in places[2:]]
+                ids, check, first = zip(*places[:2])
                 columns[0].append(k % buckets)
                 columns[1].append(k - (1 << 63))
                 columns[2].append(piece)
                 columns[3].append(b"".join(np.array(x, y).tobytes() for x, y in ((ids, "<i8"), (check, "<i8"), (first, "<i4"))))
+            if known:
+                runs = np.array(known, np.int64)
+                for b, r in _cut((runs[:, 0] + runs[:, 1]) % buckets, buckets):
+                    for c, x in zip(columns, (b, 0, None, b"".join(runs[r, i].astype(k).tobytes() for i, k in enumerate(_RUNS)))):
+                        c.append(x)
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "key", "piece", "places"])
 
         for batch in slices(batches, text):

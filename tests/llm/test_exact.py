@@ -59,6 +59,17 @@ def test_passages_at_all_places(spark, width):
     check(spark, cases.docs(spark, rows), width)
 
 
+def test_many_copies(spark):
+    """Pieces in far more than two places of a task, rows that repeat among them."""
+    rng = random.Random(5)
+    text = lambda k: "".join(rng.choices("abcdefgh é", k=k))
+    whole, passage = text(1500), text(700)
+    rows = [(i, whole, "en", "a", 1) for i in range(30)] + [(i, text(rng.randint(0, 500)) + passage[rng.randint(0, 90) :] + text(rng.randint(0, 300)), "en", "a", 1) for i in range(30, 70)]
+    alone = (90, text(900), "en", "a", 1)
+    got = check(spark, cases.docs(spark, [*rows, rows[0], rows[40], *[alone] * 5]))
+    assert all(r[2] == r[1] for r in got if r[0] < 30) and all(r[2] == 0 for r in got if r[0] == 90)
+
+
 def test_odd_rows(spark):
     check(spark, cases.odd(cases.docs(spark)))
     check(spark, cases.docs(spark, []))
