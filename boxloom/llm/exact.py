@@ -4,11 +4,12 @@ Suffixes are dealt to shards by content, so that equal long strings meet in one
 
 1. Of every window of the given width the smallest hash of a short gram is its anchor. Starts next to each other with one anchor
    are a piece; its key is a hash of the bytes that all windows of the anchor's half (left or right) share. Equal windows
-   have equal keys, so a key that only one piece has can't repeat: pieces are counted by key, without their bytes.
-2. Pieces of repeated keys travel with their bytes, each distinct one of a task once, to the shard of their key. A piece that a task finds
-   in more than two places repeats: two of them travel with it, the others go straight to their texts.
+   have equal keys, so a key that only one piece has can't repeat: pieces are counted by key, without their bytes. Of equal
+   pieces (by their key and a hash of all their bytes) in more than two places of a task two are counted; the others are known to repeat.
+2. Pieces of repeated keys travel with their bytes, each distinct one of a task once, to the shard of their key, with two places of a task
+   at most; further ones are known to repeat. What is known goes straight to its text.
 3. Each shard sorts its suffixes by induction and computes permuted common prefixes; a start repeats if its suffix has the width in
-   common with a neighbour's, or its piece stands in two places. This is exact: hashes only choose shards.
+   common with a neighbour's, or its piece stands in two places. Hashes only choose shards here.
 """
 
 from __future__ import annotations
@@ -104,7 +105,8 @@ def _groups(kinds: tuple, blob: bytes) -> list[np.ndarray]:
 
 
 _KINDS = ("<u8", "<u8", "<i8", "<i8", "<i4", "<i4")  # key, sum, id, check, first, last
-_RUNS = ("<i8", "<i8", "<i4", "<i4")  # id, check, first, end
+_RUNS = ("<i8", "<i8", "<i4", "<i4")  # id, check, first, last or end
+USUAL, MANY, KNOWN = 0, 1, 2  # of a piece that travels: its key has few pieces, or more than HOT; known to repeat
 
 
 def _cut(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -114,9 +116,36 @@ def _cut(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b), order[cut[b] : cut[b + 1]]
 
 
+def _once(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pieces in order of key and sum, each place once, and which of them are beyond two places of equal pieces."""
+    key, total, ids, check, first, _ = columns
+    order = np.lexsort((first, check, ids, total, key))
+    key, total, ids, check, first, _ = columns = [c[order] for c in columns]
+    differ = lambda *xs: np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in xs])))
+    new = differ(key, total)
+    fresh = new | differ(ids, check, first)
+    place = np.cumsum(fresh)
+    beyond = place - place[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] >= 2
+    return [c[fresh] for c in columns], beyond[fresh]
+
+
+def _found(ids: np.ndarray, check: np.ndarray, first: np.ndarray, last: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    order = np.lexsort((first, check, ids))
+    ids, check = ids[order], check[order]
+    rows = np.stack([first[order], last[order], kind[order]], axis=1).astype("<i4")
+    at = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (check[1:] != check[:-1]))))
+    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(check[at]), pa.array([x.tobytes() for x in np.split(rows, at[1:])], pa.binary())], names=["id", "check", "found"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, check, pieces (first, last, is the key hot): of keys that more than one piece has; one bucket of keys is one partition."""
-    parts = [_groups(_KINDS, b) for batch in batches for b in batch.column("blob").to_pylist()]
+    """id, check, pieces (first, last, kind): of keys that more than one piece has, and what is known; one bucket of keys is one partition."""
+    parts = []
+    for batch in batches:
+        known = batch.column("known")
+        if blobs := batch.filter(known).column("blob").to_pylist():
+            ids, check, first, last = map(np.concatenate, zip(*(_groups(_RUNS, b) for b in blobs)))
+            yield _found(ids, check, first, last, np.full(len(ids), KNOWN))
+        parts += [_groups(_KINDS, b) for b in batch.filter(pc.invert(known)).column("blob").to_pylist()]
     if not parts:
         return
     key, total, ids, check, first, last = map(np.concatenate, zip(*parts))
@@ -128,15 +157,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.bincount(group)
     distinct = np.bincount(group, weights=new | np.concatenate(([True], total[1:] != total[:-1])))
     some = counts[group] > 1
-    hot = (distinct[group] > HOT)[some].astype("<i4")
-    ids, check, first, last = (x[some] for x in (ids, check, first, last))
-    if not len(ids):
-        return
-    order = np.lexsort((first, check, ids))
-    ids, check = ids[order], check[order]
-    rows = np.stack([first[order], last[order], hot[order]], axis=1).astype("<i4")
-    at = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (check[1:] != check[:-1]))))
-    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(check[at]), pa.array([x.tobytes() for x in np.split(rows, at[1:])], pa.binary())], names=["id", "check", "found"])
+    if some.any():
+        yield _found(*(x[some] for x in (ids, check, first, last)), np.where(distinct[group] > HOT, MANY, USUAL)[some])
 
 
 def _repeated(shard: dict[bytes, int], width: int) -> dict[bytes, np.ndarray]:
@@ -240,10 +262,12 @@ def remove_repeats(
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
-            columns = list(map(np.concatenate, zip(*held)))
-            cuts = list(_cut((columns[0] % np.uint64(buckets)).astype(np.int64), buckets))
-            blobs = [b"".join(c[r].astype(k).tobytes() for c, k in zip(columns, _KINDS)) for _, r in cuts]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in cuts], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            columns, known = _once(list(map(np.concatenate, zip(*held))))
+            # what is known is dealt by text, the rest by key
+            to = np.where(known, (columns[2] + columns[3]) % buckets + buckets, (columns[0] % np.uint64(buckets)).astype(np.int64))
+            cuts = list(_cut(to, 2 * buckets))
+            blobs = [b"".join(c[r].astype(k).tobytes() for c, k in (zip(columns, _KINDS) if b < buckets else zip(columns[2:], _RUNS))) for b, r in cuts]
+            return pa.RecordBatch.from_arrays([pa.array([b % buckets for b, _ in cuts], pa.int32()), pa.array([b >= buckets for b, _ in cuts]), pa.array(blobs, pa.binary())], names=["bucket", "known", "blob"])
 
         for batch in slices(batches, "text"):
             data, offsets = utf8(batch.column("text"))
@@ -259,20 +283,20 @@ def remove_repeats(
             yield flush()
 
     plain = rows.select("sx_id", "sx_check", F.col(text).alias("text"))
-    counted = plain.mapInArrow(find, "bucket int, blob binary").repartitionById(buckets, "bucket").mapInArrow(_count, "id long, check long, found binary")
+    counted = plain.mapInArrow(find, "bucket int, known boolean, blob binary").repartitionById(buckets, "bucket").mapInArrow(_count, "id long, check long, found binary")
     found = counted.groupBy("id", "check").agg(F.collect_list("found").alias("sx_found")).toDF("sx_by_id", "sx_by_check", "sx_found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bytes], list] = {}
+        known: list[tuple[int, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             columns = [], [], [], []
-            known = []
             for (k, piece), places in held.items():
                 if len(places) > 2:
                     places = list(dict.fromkeys(places))
-                    known += [(*p, p[2] + len(piece) - width + 1) for p in places[2:]]
+                    known.extend((*p, p[2] + len(piece) - width + 1) for p in places[2:])
                 ids, check, first = zip(*places[:2])
                 columns[0].append(k % buckets)
                 columns[1].append(k - (1 << 63))
@@ -288,10 +312,14 @@ def remove_repeats(
         for batch in slices(batches, text):
             data, offsets = utf8(batch.column(text))
             usual, hot = np.zeros(len(data), bool), np.zeros(len(data), bool)
-            for at, blobs in zip(offsets.tolist(), batch.column("sx_found").to_pylist()):
-                for a, b, is_hot in np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 3).tolist():
-                    (hot if is_hot else usual)[at + a : at + b + 1] = True
             ids, checks = (batch.column(c).to_pylist() for c in ("sx_id", "sx_check"))
+            for at, blobs, i, c in zip(offsets.tolist(), batch.column("sx_found").to_pylist(), ids, checks):
+                for a, b, kind in np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 3).tolist():
+                    if kind == KNOWN:
+                        known.append((i, c, a, b + 1))
+                        size += 100
+                    else:
+                        (hot if kind == MANY else usual)[at + a : at + b + 1] = True
             raw = data.tobytes()
             for halves, within in ((2, usual), (16, hot)):
                 if not within.any():
@@ -306,8 +334,8 @@ def remove_repeats(
                     size += 100
             if size > FLUSH_BYTES:
                 yield flush()
-                held, size = {}, 0
-        if held:
+                held, known, size = {}, [], 0
+        if held or known:
             yield flush()
 
     # the same columns as below, though some aren't looked at, so that both joins read one exchange of the texts
