@@ -226,12 +226,15 @@ def _node(key: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), F.lit(_LAST))
 
 
-def _judged(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """node, sum (a hash of the text), fp and component_id of each row."""
+def _judged(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """node, sum (a hash of the text) and fp of each row; fp, root (its component's smallest fingerprint), node and sum (the smallest of its rows) of each fingerprint.
+
+    A fingerprint is a node of its own, whatever keys its rows have: rows of one key, or without one, link only by their texts.
+    """
     marked = durable(fingerprints(docs.select(_node(key).alias("node"), F.xxhash64(text).alias("sum"), F.col(text).alias("text")), keep=["node", "sum"]))
-    distinct = durable(marked.groupBy("fp").agg(F.min("node").alias("node")))
-    roots = components(links(distinct))
-    return marked.join(distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id")), "fp")
+    distinct = durable(marked.groupBy("fp").agg(F.min(F.struct("node", "sum")).alias("first")))
+    roots = components(links(distinct.select("fp", F.col("fp").alias("node")))).withColumnRenamed("node", "fp")
+    return marked, durable(distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,7 +245,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     only has a null id; an empty table gives an empty one; other columns of docs aren't looked at. key is a whole number.
     """
     null = lambda c: F.when(F.col(c) != _LAST, F.col(c))
-    return _judged(docs, key, text).select(null("node").alias(key), "fp", null("component_id").alias("component_id"))
+    marked, distinct = _judged(docs, key, text)
+    ids = distinct.groupBy("root").agg(F.min("first.node").alias("component_id"))
+    return marked.join(distinct.join(ids, "root").select("fp", "component_id"), "fp").select(null("node").alias(key), "fp", null("component_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -252,7 +257,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     if clash := {"nd_node", "nd_sum"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {sorted(clash)} are there already")
-    kept = _judged(docs, key, text).where("node = component_id").groupBy(F.col("node").alias("nd_node")).agg(F.min("sum").alias("nd_sum"))
+    _, distinct = _judged(docs, key, text)
+    kept = distinct.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.node").alias("nd_node"), F.col("first.sum").alias("nd_sum"))
     rows = docs.withColumns({"nd_node": _node(key), "nd_sum": F.xxhash64(text)}).join(kept, ["nd_node", "nd_sum"])
     return rows.dropDuplicates(["nd_node", "nd_sum"]).select(*docs.columns)
 

@@ -54,6 +54,18 @@ def test_odd_rows(spark):
     check(spark, cases.docs(spark, [(None, "x y z", None, None, None), (None, "x y z", None, None, None), (4, "q r s t u v", None, None, None)]))
 
 
+def test_equal_keys_dont_link_texts(spark):
+    """Rows without a key, or of one key, are nodes of their own: a component is made by texts alone."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, c), (None, c), (3, c), (7, d), (7, e), (8, e), (7, a)]
+    df = cases.docs(spark, [(k, t, None, None, None) for k, t in rows])
+    ids = {(r[0], r[1] % (1 << 64)): r[2] for r in simhash.near_duplicates(df).collect()}
+    f = {t: brute_fingerprint(t) for t in (a, b, c, d, e)}
+    assert len(set(f.values())) == 5
+    assert ids == {(None, f[a]): 7, (7, f[a]): 7, (None, f[b]): None, (None, f[c]): 3, (3, f[c]): 3, (7, f[d]): 7, (7, f[e]): 7, (8, f[e]): 7}
+    assert sorted(((r[0], r[1]) for r in simhash.keep_one(df).collect()), key=repr) == sorted([(7, a), (None, b), (3, c), (7, d), (7, e)], key=repr)
+
+
 @pytest.mark.parametrize("hot,two", [(256, 1 << 23), (4, 1 << 23), (4, 0)])
 def test_clusters_of_many_fingerprints(spark, monkeypatch, hot, two):
     """Every path of the index finds the same components as brute force."""
