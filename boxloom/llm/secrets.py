@@ -17,21 +17,21 @@ from pyspark.sql import functions as F
 from . import forest
 from ._common import extended, read
 
-#: Kinds of candidates in order of preference; the group "s" is the candidate. Each needs its keyword in the text ("": none).
+#: Kinds of candidates in order of preference; the group "s" is the candidate, a whole run of any length. Each needs its keyword in the text ("": none).
 KINDS = (
-    ("private-key", "-----BEGIN", re.compile(r"(?P<s>-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,8192}(?:-----END [A-Z ]*PRIVATE KEY-----)?)")),
+    ("private-key", "-----BEGIN", re.compile(r"(?P<s>-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+(?:-----END [A-Z ]*PRIVATE KEY-----)?)")),
     ("jwt", "eyJ", re.compile(r"(?<![\w-])(?P<s>eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,})")),
     ("aws-key-id", "A", re.compile(r"(?<![A-Za-z0-9])(?P<s>(?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])")),
-    ("github-token", "_", re.compile(r"(?<![A-Za-z0-9])(?P<s>(?:gh[pousr]|github_pat)_[A-Za-z0-9_]{22,255})")),
-    ("vendor-token", "", re.compile(r"(?<![A-Za-z0-9])(?P<s>(?:xox[abprs]-[\w-]{10,}|AIza[\w-]{35}|[rs]k_live_[A-Za-z0-9]{16,}|glpat-[\w-]{20,}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}\.[\w-]{16,}))")),
+    ("github-token", "_", re.compile(r"(?<![A-Za-z0-9])(?P<s>(?:gh[pousr]|github_pat)_[A-Za-z0-9_]{22,})")),
+    ("vendor-token", "", re.compile(r"(?<![A-Za-z0-9])(?P<s>(?:xox[abprs]-[\w-]{10,}|AIza[\w-]{35,}|[rs]k_live_[A-Za-z0-9]{16,}|glpat-[\w-]{20,}|npm_[A-Za-z0-9]{36,}|SG\.[\w-]{16,}\.[\w-]{16,}))")),
     (
         "assignment",
         "",
         re.compile(
-            r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)[\"']?[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4}[\"']?(?P<s>[^\s\"'<>;,]{6,512})"
+            r"(?i)(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|credentials?)[\"']?[ \t]{0,4}(?:=>|:=|[:=])[ \t]{0,4}[\"']?(?P<s>[^\s\"'<>;,]{6,})"
         ),
     ),
-    ("random", "", re.compile(r"(?<![A-Za-z0-9+/_=-])(?P<s>(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_-]{20,512}={0,2})(?![A-Za-z0-9])")),
+    ("random", "", re.compile(r"(?<![A-Za-z0-9+/_=-])(?P<s>(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_-]{20,}+={0,2})(?![A-Za-z0-9])")),
 )
 CONTEXT = 48
 THRESHOLD = 0.5
@@ -49,7 +49,7 @@ DICTIONARY = frozenset(
     write open close start stop begin end first last next prev new old add remove set get put post call send receive""".split()
 )
 FOR_WORDS = ("password", "passwd", "pwd", "secret", "token", "api", "key", "auth", "credential", "bearer")
-AGAINST_WORDS = ("sha", "md5", "checksum", "digest", "commit", "hash", "uuid", "guid", "example", "placeholder", "integrity", "revision", "blob", "id", "etag", "sample", "test")
+AGAINST_WORDS = ("sha", "md5", "checksum", "digest", "commit", "hash", "uuid", "guid", "example", "placeholder", "integrity", "revision", "blob", "id", "etag", "sample", "test", "base64")
 _CLASS = {**dict.fromkeys(string.ascii_lowercase, 0), **dict.fromkeys(string.ascii_uppercase, 1), **dict.fromkeys(string.digits, 2)}
 _LETTERS = re.compile(r"[A-Za-z]+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -117,8 +117,8 @@ def labelled_findings(n: int = LABELLED, seed: int = 0) -> list[tuple[str, int,
         key, gap = rng.choice(good_keys), rng.choice(["=", " = ", ": ", ":", " := "])
         quote = rng.choice(['"', "'", ""])
         path, before, after = rng.choice(paths), prose(), prose()
-        kind = rng.randrange(20)
-        label = kind < 10
+        kind = rng.randrange(23)
+        label = kind < 10 or kind in (20, 21)
         if kind < 4:
             value = pick(hexa, rng.choice([16, 18, 20, 24, 32, 40, 64]))
             lead = f"{key}{gap}{quote}"
@@ -148,6 +148,15 @@ def labelled_findings(n: int = LABELLED, seed: int = 0) -> list[tuple[str, int,
             value, lead = "".join(word().title() for _ in range(rng.randint(3, 6))) + str(rng.randint(1, 99)), rng.choice(["", "class ", "function "])
         elif kind == 18:
             value, lead = "/".join(word() for _ in range(rng.randint(4, 7))) + f"/{rng.randint(1, 999)}", rng.choice(["", "path ", "from "])
+        elif kind == 20:
+            value = pick(alnum + rng.choice(["", "+/", "-_"]), rng.choice([100, 300, 600, 1200, 3000])) + rng.choice(["", "", "=", "=="])
+            lead = rng.choice([f"{key}{gap}{quote}", f"aws_session_token{gap}{quote}", "Bearer "])
+        elif kind == 21:
+            name = rng.choice(["", "RSA ", "EC ", "OPENSSH "])
+            lines = "\n".join(pick(alnum + "+/", 64) for _ in range(rng.choice([2, 3, 12, 25, 50, 150])))
+            value, lead = f"-----BEGIN {name}PRIVATE KEY-----\n{lines}\n" + rng.choice([f"-----END {name}PRIVATE KEY-----", ""]), rng.choice(["", "key ", quote])
+        elif kind == 22:
+            value, lead = pick(alnum + "+/", rng.choice([40, 100, 300, 600, 1200, 3000])) + rng.choice(["", "=", "=="]), f"data:{rng.choice(['image/png', 'image/jpeg', 'font/woff2', 'text/html'])};base64,"
         else:
             value, lead = rng.choice(["1234567890" * 2, pick("01", 32), pick(string.digits, 24), "a1" * 12, "abcdefghijklmnopqrstuvwxyz0123456789", "0" * 32]), rng.choice(["", "number ", "alphabet "])
         text = f"{before} {lead}"

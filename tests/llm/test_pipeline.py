@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import corpus_pipeline
 from boxloom.llm import quality, secrets
@@ -73,6 +75,17 @@ def test_forest_holds_out():
     assert ((model.probability(x) >= 0.5) == y).mean() > 0.97
 
 
+def test_long_secrets_go_whole():
+    rng, alnum = random.Random(1), string.ascii_letters + string.digits
+    pick = lambda k: "".join(rng.choices(alnum, k=k))
+    pem = lambda n: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(pick(64) for _ in range(n)) + "\n-----END RSA PRIVATE KEY-----"
+    cases = [(lead, pick(n)) for lead in ("aws_session_token = ", "Authorization: Bearer ") for n in (64, 511, 513, 800, 5000)]
+    cases += [("", "ghp_" + pick(400)), ("password = ", pick(2000)), ("Bearer ", "abcdefghij" * 5 + pick(60)), ("key ", pem(12)), ("key ", pem(200))]
+    texts = [f"und the {lead}{value}, lo vern" for lead, value in cases]
+    _, found = secrets.scan(texts, [None] * len(texts), secrets.train(), secrets.THRESHOLD)
+    assert [secrets.redact(t, f) for t, f in zip(texts, found)] == [f"und the {lead}[SECRET], lo vern" for lead, _ in cases]
+
+
 def test_hosts_rejected(spark):
     """A host whose documents mostly fail loses its good ones too; rates are shrunk, so one failure condemns no small host."""
     good = " ".join(f"x{i}" for i in range(60))
