@@ -14,10 +14,9 @@ from ._common import durable, extended, mix, read
 
 #: n-grams of 1 to 3 characters, hashed to so many features.
 ORDERS, FEATURES = (1, 2, 3), 1 << 13
-#: Labelled documents of each language that training takes, on average: the fixed bound of the sample.
-SAMPLE = 600
-#: Languages that are told apart: the commonest of the labelled ones.
-LANGUAGES = 64
+#: Labelled documents of each language that training takes, on average, of up to LANGUAGES languages. More languages share the rows of that many, with
+#: LEAST of each at least: the bound is one on rows, every language is learned.
+SAMPLE, LANGUAGES, LEAST = 600, 64, 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 4
 #: This share of the sample calibrates the temperature and isn't trained on.
 CALIBRATION = 0.2
@@ -73,6 +72,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, langu
     order = rng.permutation(len(rows))
     n_hold = int(len(rows) * CALIBRATION) if len(rows) >= 10 else 0
     held, used = order[:n_hold], order[n_hold:]
+    known = {rows[j][2] for j in used}
+    lost = np.array([rows[j][2] not in known for j in held], bool)  # all rows of a language: it is learned, not held out
+    held, used = held[~lost], np.append(used, held[lost])
+    n_hold = len(held)
     data = [(np.append(some, FEATURES), np.append(model.vector(some, counts), 1.0), at[lang]) for some, counts, lang in rows]
     z, n = np.zeros((FEATURES + 1, k)), np.zeros((FEATURES + 1, k))
 
@@ -106,15 +109,16 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, langu
 
 
 def fit(labelled: DataFrame, text: str, lang: str, key: str) -> Model:
-    """From labelled rows: document frequencies over all of them, weights from a sample of about SAMPLE rows a language.
+    """From labelled rows: document frequencies over all of them, weights of every language from a sample of about SAMPLE rows each (fewer beyond LANGUAGES).
 
     A row is in the sample by a hash of its key, so the sample is the same in every run and doesn't grow with the table.
     """
-    per = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+    per = labelled.groupBy(lang).count().collect()
     languages = sorted(r[0] for r in per)
     if not languages:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES + 1, 0)), 1.0)
-    share = F.create_map(*(x for r in per for x in (F.lit(r[0]), F.lit(SAMPLE / r[1]))))[F.col(lang)]
+    each = max(LEAST, SAMPLE * min(1.0, LANGUAGES / len(per)))
+    share = F.create_map(*(x for r in per for x in (F.lit(r[0]), F.lit(each / r[1]))))[F.col(lang)]
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
     wanted = labelled.select(F.col(text).alias("text"), F.when(draw < share, F.col(lang)).alias("lang"))
 
@@ -170,7 +174,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "li
     """
     schema = extended(docs, keep, f"{prefix}pred string, {prefix}score double")
     carried = [f.name for f in schema.fields[:-2]]
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES by LANGUAGES numbers at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES numbers a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -175,6 +175,15 @@ def test_language_of_odd_rows(spark):
     assert language.predict(labelled.limit(0), model).count() == 0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    rows = [(100 * k + i, f"{x * 3} {x}{x} {i}", x, "a", 1) for k, x in enumerate("abcdefgh") for i in range(40 - 4 * k)] + [(9000, "zz zzz zz", "z", "a", 1)]
+    model = language.fit(cases.docs(spark, rows), "text", "lang", "doc_id")
+    assert model.languages == [*"abcdefgh", "z"]
+    got = language.predict(cases.docs(spark, rows), model).collect()
+    assert all(r.li_pred == r.lang for r in got if r.lang != "z") and abs(model.weights[:, -1]).max() > 0
+
+
 def test_long_texts_count_as_whole(monkeypatch):
     text = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(50))
     whole = language.counts_of(text)
