@@ -25,16 +25,14 @@ def words(text: Column) -> Column:
 
 def repeat_words(w: Column, n: Column) -> Column:
     """Words in 3-word windows that occur twice or more: windows sorted with their places, equal neighbours, covered places."""
-    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("g"), i.alias("i")))
+    three = lambda i: F.struct(w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"))
+    # in order of a hash, since longs compare fast, then of the words, which decide
+    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("g"), three(i).alias("t"), i.alias("i")))
 
     def covered(s: Column) -> Column:
+        same = lambda x, y: F.coalesce((x["g"] == y["g"]) & (x["t"] == y["t"]), F.lit(False))
         again = F.filter(
-            F.transform(
-                s,
-                lambda x, k: F.when(
-                    ((k > 0) & (F.get(s, k - 1)["g"] == x["g"])) | F.coalesce(F.get(s, k + 1)["g"] == x["g"], F.lit(False)), x["i"]
-                ),
-            ),
+            F.transform(s, lambda x, k: F.when(((k > 0) & same(F.get(s, k - 1), x)) | same(F.get(s, k + 1), x), x["i"])),
             lambda i: i.isNotNull(),
         )
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
@@ -70,22 +68,28 @@ def features(docs: DataFrame, text: str = "text", prefix: str = "q_", keep: list
 
 
 def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
-    """Host, n, failed and the shrunk rate (failed + a) / (n + a + b) of each host.
+    """Host, n, failed (k) and the shrunk rate of each host, (k + a) / (n + a + b).
 
-    The beta prior comes from all hosts' rates by moments: mean m and variance v weighted by documents; a + b = m (1 - m) / v - 1,
-    between 1 and 1000 (1000 where the rates don't vary). A null host is a host of its own.
+    The beta prior (a, b) is fitted to all hosts by moments of a beta-binomial: of the variance between hosts' rates the part that sampling
+    n documents each explains is taken off first. With m the mean rate, r = 1 / (a + b + 1) is the rest's share of m (1 - m): 0 if hosts
+    differ no more than by chance (then every rate is m), 1 if a host fails as a whole or not at all. A null host is a host of its own.
     """
     by = judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("k"))
     by = durable(by)
-    r = F.col("k") / F.col("n")
-    prior = by.agg(
-        (F.sum("k") / F.sum("n")).alias("m"),
-        (F.sum(F.col("n") * r * r) / F.sum("n") - F.pow(F.sum("k") / F.sum("n"), 2)).alias("v"),
-    ).first()
-    m = prior["m"] or 0.0
-    spread = m * (1 - m)
-    size = 1000.0 if not prior["v"] or prior["v"] <= spread / 1001 else min(1000.0, max(1.0, spread / prior["v"] - 1))
-    return by.select("host", "n", "k", ((F.col("k") + F.lit(m * size)) / (F.col("n") + F.lit(size))).alias("rate"))
+    mean = by.agg((F.sum("k") / F.sum("n")).alias("m")).first()["m"] or 0.0
+    off = F.col("k") / F.col("n") - F.lit(mean)
+    x = by.agg(F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum(F.col("n") * off * off).alias("between")).first()
+    share = overdispersion(mean, x["hosts"], x["n"] or 0, x["squares"] or 0, x["between"] or 0.0)
+    rate = (F.col("k") * F.lit(share) + F.lit(mean * (1 - share))) / (F.col("n") * F.lit(share) + F.lit(1 - share))
+    return by.select("host", "n", "k", rate.alias("rate"))
+
+
+def overdispersion(mean: float, hosts: int, n: int, squares: int, between: float) -> float:
+    """The share r from the sum over hosts of n (rate - mean) ** 2, whose mean is mean (1 - mean) (hosts - 1 + r (n - squares / n - hosts + 1))."""
+    if not 0 < mean < 1:
+        return 0.0
+    room = n - squares / n - (hosts - 1)
+    return min(1.0, max(0.0, (between / (mean * (1 - mean)) - (hosts - 1)) / room)) if room > 0 else 0.0
 
 
 def judge(
@@ -95,12 +99,16 @@ def judge(
 
     kept: the document doesn't fail the base rules and its host's shrunk rate is at most max_rate. Null and empty texts have no
     words and fail; a null host is a host of its own; repeated rows count each; an empty table gives an empty one. A column
-    called like a new one is an error. Each row's counts are computed once and checkpointed, since the rates need all of them.
+    called like a new one is an error; a very long text is one row, so its counts are made in one task.
+
+    The rates need every row's base_failed. Where texts aren't carried the counts are computed once and checkpointed; where they are, they are
+    computed twice instead of writing whole texts.
     """
     carried = docs.columns if keep is None else keep
     if clash := [c for c in carried if c.lower().startswith(prefix.lower())]:
         raise ValueError(f"columns {clash} are there already: choose another prefix")
-    judged = durable(features(docs, text, prefix, list(dict.fromkeys([*carried, host]))))
+    judged = features(docs, text, prefix, list(dict.fromkeys([*carried, host])))
+    judged = judged if text in carried else durable(judged)
     bad = host_rates(judged, host, f"{prefix}base_failed").where(F.col("rate") > max_rate).select(F.col("host").alias(f"{prefix}host"))
     if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
@@ -133,10 +141,12 @@ f AS (
          CAST(coalesce(l.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(x.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN x USING (r) LEFT JOIN l USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS k FROM b GROUP BY source),
-p AS (SELECT sum(k) / sum(n) AS m, sum(n * (k / n) * (k / n)) / sum(n) - pow(sum(k) / sum(n), 2) AS v FROM h),
-q AS (SELECT m, CASE WHEN v = 0 OR v <= m * (1 - m) / 1001 THEN 1000.0 ELSE least(1000.0, greatest(1.0, m * (1 - m) / v - 1)) END AS s FROM p),
-z AS (SELECT source, (k + m * s) / (n + s) AS rate FROM h, q)
+y AS (SELECT source, base_failed::INT AS y, avg(base_failed::INT) OVER (PARTITION BY source) AS host_mean, count(*) OVER (PARTITION BY source) AS host_n FROM b),
+v AS (
+  SELECT avg(y) AS m, count(*)::DOUBLE AS n, var_pop(y) AS total, var_pop(host_mean) AS between_hosts, avg(host_n) AS usual_n,
+         (SELECT count(*) FROM (SELECT DISTINCT source FROM y)) - 1 AS free FROM y),
+q AS (SELECT m, CASE WHEN total = 0 OR n - usual_n - free <= 0 THEN 0 ELSE least(1, greatest(0, (n * between_hosts / total - free) / (n - usual_n - free))) END AS r FROM v),
+z AS (SELECT source, (sum(y) * any_value(r) + any_value(m) * (1 - any_value(r))) / (count(*) * any_value(r) + 1 - any_value(r)) AS rate FROM y, q GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept
 FROM b JOIN z ON b.source IS NOT DISTINCT FROM z.source
 """
