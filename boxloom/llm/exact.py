@@ -3,12 +3,14 @@
 Suffixes are dealt to shards by content, so that equal long strings meet in one shard whatever documents hold them:
 
 1. Of every window of the given width the smallest hash of a short gram is its anchor. Starts next to each other with one anchor
-   are a piece; its key is a hash of the bytes that all windows of the anchor's half (left or right) share. Equal windows
+   are a piece; its key is a hash of the bytes that all windows of the anchor's class (its offset: one of two halves) share. Equal windows
    have equal keys, so a key that only one piece has can't repeat: pieces are counted by key, without their bytes. Of equal
-   pieces (by their key and a hash of all their bytes) in more than two places of a task two are counted; the others are known to repeat.
-2. Pieces of repeated keys travel with their bytes, each distinct one of a task once, to the shard of their key, with two places of a task
-   at most; further ones are known to repeat. What is known goes straight to its text.
-3. Each shard sorts its suffixes by induction and computes permuted common prefixes; a start repeats if its suffix has the width in
+   pieces in more than two places of a task two are counted; the others repeat, as their bytes are compared there.
+2. A key of very many different pieces is dealt out anew by finer classes, whose windows share more bytes, and at last by whole windows, of which
+   a task passes two equal ones at most: no string that many texts share, each with other surroundings, brings them into one task.
+3. Pieces of repeated keys travel with their bytes, each distinct one of a task once, to the shard of their key, with two places of a task
+   at most; further ones have the same bytes and repeat. What is known goes straight to its text.
+4. Each shard sorts its suffixes by induction and computes permuted common prefixes; a start repeats if its suffix has the width in
    common with a neighbour's, or its piece stands in two places. Hashes only choose shards here.
 """
 
@@ -22,14 +24,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Rolling, bucket_count, byte_values, extended, mix, read, refuse_prefix, slices, utf8
+from ._common import Rolling, bucket_count, byte_values, durable, extended, mix, read, refuse_prefix, slices, utf8
 from .suffixes import permuted_common_prefixes, suffix_array
 
 WIDTH, GRAM = 400, 32
 #: Bytes of a shard's string; one key's pieces stay together.
 SHARD = 3 << 20
-#: A key of more distinct pieces than this is dealt out by longer shared parts.
-HOT = 2048
+#: Into how many classes an anchor's offsets are divided, round by round; the last round is of whole windows.
+CLASSES = (2, 16, None)
+#: A key of more distinct pieces than this, or than IN_TASK of one lot of a task, goes on to the next round.
+HOT, IN_TASK = 2048, 32
+#: Bytes of starts up to which the texts that go on are found by a broadcast join; beyond it the join shuffles.
+BROADCAST_BYTES = 8 << 20
 #: Pieces or bytes that a task gathers before it passes them on.
 FLUSH_PIECES, FLUSH_BYTES = 1 << 18, 24 << 20
 
@@ -105,8 +111,9 @@ def _groups(kinds: tuple, blob: bytes) -> list[np.ndarray]:
 
 
 _KINDS = ("<u8", "<u8", "<i8", "<i8", "<i4", "<i4")  # key, sum, id, check, first, last
-_RUNS = ("<i8", "<i8", "<i4", "<i4")  # id, check, first, last or end
-USUAL, MANY, KNOWN = 0, 1, 2  # of a piece that travels: its key has few pieces, or more than HOT; known to repeat
+_RUNS = ("<i8", "<i8", "<i4", "<i4", "<i4")  # id, check, first, last or end, kind
+MANY, KNOWN = 8, 9  # kinds of a piece: its key goes on to the next round; known to repeat; else the round in which its bytes travel
+_MARK = -1  # the start of a row that stands for a key of more than IN_TASK pieces
 
 
 def _cut(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -116,49 +123,65 @@ def _cut(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b), order[cut[b] : cut[b + 1]]
 
 
-def _once(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
-    """Pieces in order of key and sum, each place once, and which of them are beyond two places of equal pieces."""
+def _differ(*columns: np.ndarray) -> np.ndarray:
+    """Is each row other than the one before it?"""
+    return np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in columns])))
+
+
+def _once(columns: list[np.ndarray], at: np.ndarray, raw: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pieces in order of key and sum, each place once, and which of them have the bytes of two others before them."""
     key, total, ids, check, first, _ = columns
     order = np.lexsort((first, check, ids, total, key))
-    key, total, ids, check, first, _ = columns = [c[order] for c in columns]
-    differ = lambda *xs: np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in xs])))
-    new = differ(key, total)
-    fresh = new | differ(ids, check, first)
+    key, total, ids, check, first, last = columns = [c[order] for c in columns]
+    at, size = at[order], last - first + width
+    new = _differ(key, total)
+    fresh = new | _differ(ids, check, first)
     place = np.cumsum(fresh)
-    beyond = place - place[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] >= 2
+    of = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    beyond = fresh & (place - place[of] >= 2)
+    for i in np.flatnonzero(beyond).tolist():
+        a, b = at[i], at[of[i]]
+        beyond[i] = size[i] == size[of[i]] and raw[a : a + size[i]] == raw[b : b + size[i]]
     return [c[fresh] for c in columns], beyond[fresh]
 
 
-def _found(ids: np.ndarray, check: np.ndarray, first: np.ndarray, last: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((first, check, ids))
-    ids, check = ids[order], check[order]
-    rows = np.stack([first[order], last[order], kind[order]], axis=1).astype("<i4")
-    at = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (check[1:] != check[:-1]))))
-    return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(check[at]), pa.array([x.tobytes() for x in np.split(rows, at[1:])], pa.binary())], names=["id", "check", "found"])
+def _found(ids: np.ndarray, check: np.ndarray, first: np.ndarray, last: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """id, check, many, found (first, last, kind): what goes on to the next round apart from the rest."""
+    for many in (False, True):
+        some = np.flatnonzero((kind == MANY) == many)
+        if not len(some):
+            continue
+        order = some[np.lexsort((first[some], check[some], ids[some]))]
+        rows = np.stack([first[order], last[order], kind[order]], axis=1).astype("<i4")
+        at = np.flatnonzero(_differ(ids[order], check[order]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[order][at]), pa.array(check[order][at]), pa.array(np.full(len(at), many)), pa.array([x.tobytes() for x in np.split(rows, at[1:])], pa.binary())],
+            names=["id", "check", "many", "found"],
+        )
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, check, pieces (first, last, kind): of keys that more than one piece has, and what is known; one bucket of keys is one partition."""
-    parts = []
+    """What _found gives of keys that more than one piece has, and of pieces that came straight; one bucket of keys is one partition."""
+    parts, level = [], 0
     for batch in batches:
-        known = batch.column("known")
-        if blobs := batch.filter(known).column("blob").to_pylist():
-            ids, check, first, last = map(np.concatenate, zip(*(_groups(_RUNS, b) for b in blobs)))
-            yield _found(ids, check, first, last, np.full(len(ids), KNOWN))
-        parts += [_groups(_KINDS, b) for b in batch.filter(pc.invert(known)).column("blob").to_pylist()]
+        straight = batch.column("straight")
+        if blobs := batch.filter(straight).column("blob").to_pylist():
+            yield from _found(*map(np.concatenate, zip(*(_groups(_RUNS, b) for b in blobs))))
+        if rest := batch.filter(pc.invert(straight)).select(["round", "blob"]).to_pylist():
+            level = rest[0]["round"]
+            parts += [_groups(_KINDS, r["blob"]) for r in rest]
     if not parts:
         return
     key, total, ids, check, first, last = map(np.concatenate, zip(*parts))
     del parts
     order = np.lexsort((total, key))
     key, total, ids, check, first, last = (x[order] for x in (key, total, ids, check, first, last))
-    new = np.concatenate(([True], key[1:] != key[:-1]))
-    group = np.cumsum(new) - 1
-    counts = np.bincount(group)
-    distinct = np.bincount(group, weights=new | np.concatenate(([True], total[1:] != total[:-1])))
-    some = counts[group] > 1
+    group = np.cumsum(_differ(key)) - 1
+    many = np.bincount(group, weights=_differ(key, total)) > HOT
+    many[group[first == _MARK]] = True
+    some = (np.bincount(group)[group] > 1) & (first != _MARK)
     if some.any():
-        yield _found(*(x[some] for x in (ids, check, first, last)), np.where(distinct[group] > HOT, MANY, USUAL)[some])
+        yield from _found(*(x[some] for x in (ids, check, first, last)), np.where(many[group] & (level < len(CLASSES) - 1), MANY, level)[some])
 
 
 def _repeated(shard: dict[bytes, int], width: int) -> dict[bytes, np.ndarray]:
@@ -223,7 +246,7 @@ def _sorted_shards(width: int):
 
 def _by_text(blobs: list[bytes]) -> pa.RecordBatch:
     """id, check, starts of packed runs of starts that are known to repeat."""
-    ids, check, first, end = map(np.concatenate, zip(*(_groups(_RUNS, b) for b in blobs)))
+    ids, check, first, end, _ = map(np.concatenate, zip(*(_groups(_RUNS, b) for b in blobs)))
     order = np.lexsort((first, check, ids))
     ids, check, runs = ids[order], check[order], np.stack([first[order], end[order]], axis=1)
     at = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (check[1:] != check[:-1]))))
@@ -247,7 +270,8 @@ def remove_repeats(
 
     Null and empty texts have no bytes. Rows with equal keys and equal texts are one document; rows with equal keys and
     different texts are told apart by a hash of the text; a null key is a key; an empty table gives an empty one; a column whose
-    name begins with sx_ or is a new one's is an error. key is a whole number.
+    name begins with sx_ or is a new one's is an error. key is a whole number. A very long text is hashed and cut in one task, whole.
+    Counts of keys are checkpointed; what a round passes on decides whether there is a next one.
     """
     carried = docs.columns if keep is None else keep
     refuse_prefix([*carried, text], "sx_")
@@ -258,33 +282,73 @@ def remove_repeats(
         *carried, *([] if text in carried else [text]), F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL))).alias("sx_id"), F.xxhash64(text).alias("sx_check")
     )
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            columns, known = _once(list(map(np.concatenate, zip(*held))))
-            # what is known is dealt by text, the rest by key
-            to = np.where(known, (columns[2] + columns[3]) % buckets + buckets, (columns[0] % np.uint64(buckets)).astype(np.int64))
-            cuts = list(_cut(to, 2 * buckets))
-            blobs = [b"".join(c[r].astype(k).tobytes() for c, k in (zip(columns, _KINDS) if b < buckets else zip(columns[2:], _RUNS))) for b, r in cuts]
-            return pa.RecordBatch.from_arrays([pa.array([b % buckets for b, _ in cuts], pa.int32()), pa.array([b >= buckets for b, _ in cuts]), pa.array(blobs, pa.binary())], names=["bucket", "known", "blob"])
-
-        for batch in slices(batches, "text"):
-            data, offsets = utf8(batch.column("text"))
-            p = pieces(data, offsets, width, gram)
-            t = p["text"]
-            ids, check = (batch.column(c).to_numpy()[t] for c in ("sx_id", "sx_check"))
-            held.append((p["key"], p["sum"], ids, check, p["first"] - offsets[t], p["last"] - offsets[t]))
-            n += len(t)
-            if n > FLUSH_PIECES:
-                yield flush()
-                held, n = [], 0
-        if n:
-            yield flush()
-
-    plain = rows.select("sx_id", "sx_check", F.col(text).alias("text"))
-    counted = plain.mapInArrow(find, "bucket int, known boolean, blob binary").repartitionById(buckets, "bucket").mapInArrow(_count, "id long, check long, found binary")
-    found = counted.groupBy("id", "check").agg(F.collect_list("found").alias("sx_found")).toDF("sx_by_id", "sx_by_check", "sx_found")
+    span = width - gram + 1
+    classes = [min(c or span, span) for c in CLASSES]
+
+    def find(level: int):
+        last_level = level == len(classes) - 1
+
+        def flush(held: list[tuple], raws: list[np.ndarray]) -> pa.RecordBatch:
+            *columns, at = map(np.concatenate, zip(*held))
+            columns, known = _once(columns, at, np.concatenate(raws).tobytes(), width)
+            key, total = columns[:2]
+            group = np.cumsum(_differ(key)) - 1
+            wide = np.bincount(group, weights=_differ(key, total)) > IN_TASK if not last_level else np.zeros(group[-1] + 1, bool)
+            many = wide[group] & ~known
+            marks = np.flatnonzero(_differ(key) & wide[group])
+            kind = np.where(known, KNOWN, MANY).astype(np.int64)
+            # what is known or goes on is dealt by text, the rest by key, with a mark for each key that goes on
+            to = np.where(known | many, (columns[2] + columns[3]) % buckets + buckets, (key % np.uint64(buckets)).astype(np.int64))
+            cuts = [(b, r, columns) for b, r in _cut(to, 2 * buckets)]
+            if len(marks):
+                nothing = np.zeros(len(marks), np.int64)
+                mark = [key[marks], total[marks], nothing, nothing, nothing + _MARK, nothing + _MARK]
+                cuts += [(b, r, mark) for b, r in _cut((mark[0] % np.uint64(buckets)).astype(np.int64), buckets)]
+            blobs = [b"".join(c[r].astype(k).tobytes() for c, k in (zip(x, _KINDS) if b < buckets else zip([*x[2:], kind], _RUNS))) for b, r, x in cuts]
+            return pa.RecordBatch.from_arrays([pa.array([b % buckets for b, *_ in cuts], pa.int32()), pa.array([level] * len(cuts), pa.int32()), pa.array([b >= buckets for b, *_ in cuts]), pa.array(blobs, pa.binary())], names=["bucket", "round", "straight", "blob"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, raws, n, size = [], [], 0, 0
+            for batch in slices(batches, "text"):
+                data, offsets = utf8(batch.column("text"))
+                within = None
+                if level:
+                    within = np.zeros(len(data), bool)
+                    for at, blobs in zip(offsets.tolist(), batch.column("sx_open").to_pylist()):
+                        for a, b, _ in np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 3).tolist():
+                            within[at + a : at + b + 1] = True
+                p = pieces(data, offsets, width, gram, classes[level], within)
+                t = p["text"]
+                if not len(t):
+                    continue
+                ids, check = (batch.column(c).to_numpy()[t] for c in ("sx_id", "sx_check"))
+                held.append((p["key"], p["sum"], ids, check, p["first"] - offsets[t], p["last"] - offsets[t], p["first"] + size))
+                raws.append(data)
+                n += len(t)
+                size += len(data)
+                if n > FLUSH_PIECES or size > FLUSH_BYTES:
+                    yield flush(held, raws)
+                    held, raws, n, size = [], [], 0, 0
+            if n:
+                yield flush(held, raws)
+
+        return run
+
+    texts = rows.select("sx_id", "sx_check", F.col(text).alias("text"))
+    counted = []
+    for level in range(len(classes)):
+        hashed = texts.mapInArrow(find(level), "bucket int, round int, straight boolean, blob binary").repartitionById(buckets, "bucket")
+        counted.append(durable(hashed.mapInArrow(_count, "id long, check long, many boolean, found binary")))
+        on = counted[-1].where("many")
+        size = on.agg(F.sum(F.length("found") + F.lit(64))).first()[0]
+        if not size:
+            break
+        on = on.groupBy("id", "check").agg(F.collect_list("found").alias("sx_open"))
+        texts = rows.select("sx_id", "sx_check", F.col(text).alias("text")).join(F.broadcast(on) if size <= BROADCAST_BYTES else on, F.expr("sx_id = id AND sx_check = check")).drop("id", "check")
+    judging = counted[0]
+    for c in counted[1:]:
+        judging = judging.unionByName(c)
+    found = judging.where("NOT many").groupBy("id", "check").agg(F.collect_list("found").alias("sx_found")).toDF("sx_by_id", "sx_by_check", "sx_found")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bytes], list] = {}
@@ -303,7 +367,7 @@ def remove_repeats(
                 columns[2].append(piece)
                 columns[3].append(b"".join(np.array(x, y).tobytes() for x, y in ((ids, "<i8"), (check, "<i8"), (first, "<i4"))))
             if known:
-                runs = np.array(known, np.int64)
+                runs = np.column_stack([np.array(known, np.int64), np.full(len(known), KNOWN)])
                 for b, r in _cut((runs[:, 0] + runs[:, 1]) % buckets, buckets):
                     for c, x in zip(columns, (b, 0, None, b"".join(runs[r, i].astype(k).tobytes() for i, k in enumerate(_RUNS)))):
                         c.append(x)
@@ -311,7 +375,7 @@ def remove_repeats(
 
         for batch in slices(batches, text):
             data, offsets = utf8(batch.column(text))
-            usual, hot = np.zeros(len(data), bool), np.zeros(len(data), bool)
+            travels = [np.zeros(len(data), bool) for _ in classes]
             ids, checks = (batch.column(c).to_pylist() for c in ("sx_id", "sx_check"))
             for at, blobs, i, c in zip(offsets.tolist(), batch.column("sx_found").to_pylist(), ids, checks):
                 for a, b, kind in np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 3).tolist():
@@ -319,12 +383,12 @@ def remove_repeats(
                         known.append((i, c, a, b + 1))
                         size += 100
                     else:
-                        (hot if kind == MANY else usual)[at + a : at + b + 1] = True
+                        travels[kind][at + a : at + b + 1] = True
             raw = data.tobytes()
-            for halves, within in ((2, usual), (16, hot)):
+            for n, within in zip(classes, travels):
                 if not within.any():
                     continue
-                p = pieces(data, offsets, width, gram, halves, within)
+                p = pieces(data, offsets, width, gram, n, within)
                 for a, b, t, k in zip(p["first"].tolist(), p["last"].tolist(), p["text"].tolist(), p["key"].tolist()):
                     piece = raw[a : b + width]
                     if (k, piece) not in held:
@@ -339,8 +403,8 @@ def remove_repeats(
             yield flush()
 
     # the same columns as below, though some aren't looked at, so that both joins read one exchange of the texts
-    texts = rows.join(found, F.expr("sx_id = sx_by_id AND sx_check = sx_by_check")).select(*rows.columns, "sx_found")
-    cuts = texts.mapInArrow(cut, "bucket int, key long, piece binary, places binary")
+    judged_texts = rows.join(found, F.expr("sx_id = sx_by_id AND sx_check = sx_by_check")).select(*rows.columns, "sx_found")
+    cuts = judged_texts.mapInArrow(cut, "bucket int, key long, piece binary, places binary")
     judged = cuts.repartitionById(buckets, "bucket").mapInArrow(_sorted_shards(width), "id long, check long, starts binary")
     by = judged.groupBy("id", "check").agg(F.collect_list("starts").alias("sx_starts")).toDF("sx_by_id", "sx_by_check", "sx_starts")
     same = F.expr("sx_id = sx_by_id AND sx_check = sx_by_check")

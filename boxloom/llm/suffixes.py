@@ -1,11 +1,14 @@
-"""Suffix arrays by induced sorting, and common prefixes in text order, with numpy over whole buckets at a time."""
+"""Suffix arrays by induced sorting at every level of the recursion, and common prefixes in text order.
+
+Strings of few symbols are induced with numpy, a bucket in waves; of many symbols (names of substrings, from the second level on) place by place.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-#: A string over more symbols than this is sorted by prefix doubling instead of induced sorting: the bottom of the recursion.
-ALPHABET = 1 << 12
+#: Buckets of fewer places than this, on average, are induced place by place instead of in waves, as are strings with longer runs of one symbol.
+WAVE = 1 << 10
 
 
 def s_types(s: np.ndarray) -> np.ndarray:
@@ -83,29 +86,43 @@ def induce(s: np.ndarray, types: np.ndarray, lms: np.ndarray, starts: np.ndarray
     return sa
 
 
-def doubled(s: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; only suffixes that aren't told apart yet are sorted again."""
+def induce_singly(s: np.ndarray, types: np.ndarray, lms: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The same place by place, in time linear in the string whatever its symbols."""
     n = len(s)
-    sa = np.argsort(s, kind="stable")
-    new = np.concatenate(([True], s[sa][1:] != s[sa][:-1]))
-    rank = np.empty(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    width = 1
-    while True:
-        single = new & np.append(new[1:], True)
-        open_ = np.flatnonzero(~single)
-        if not len(open_):
-            return sa
-        i = sa[open_]
-        second = np.where(i + width < n, rank[np.minimum(i + width, n - 1)] + 1, 0)
-        first = rank[i]
-        order = np.lexsort((second, first))
-        i, first, second = i[order], first[order], second[order]
-        sa[open_] = i
-        fresh = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
-        new[open_] = fresh
-        rank[i] = np.maximum.accumulate(np.where(fresh, open_, 0))
-        width *= 2
+    # the place before each one if it is larger, or if it is smaller; else -1, as at -1
+    before = np.arange(-1, n - 1)
+    rising = np.append(False, types[:-1])
+    larger, smaller = np.where(rising, -1, before), np.where(rising, before, -1)
+    symbols = s.tolist()
+    sa = [-1] * n
+    ends = (starts[1:] - 1).tolist()
+    for j in lms[::-1].tolist():
+        c = symbols[j]
+        sa[ends[c]] = j
+        ends[c] -= 1
+    heads = starts[:-1].tolist()
+    c = symbols[n - 1]
+    # the last suffix follows from the end of the string
+    sa[heads[c]] = n - 1
+    heads[c] += 1
+    follows = [*larger.tolist(), -1]
+    for j in sa:  # reads what is set meanwhile
+        j = follows[j]
+        if j >= 0:
+            c = symbols[j]
+            at = heads[c]
+            sa[at] = j
+            heads[c] = at + 1
+    tails = (starts[1:] - 1).tolist()
+    follows = [*smaller.tolist(), -1]
+    for j in reversed(sa):
+        j = follows[j]
+        if j >= 0:
+            c = symbols[j]
+            at = tails[c]
+            sa[at] = j
+            tails[c] = at - 1
+    return np.array(sa, np.int64)
 
 
 def _same(s: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -114,6 +131,10 @@ def _same(s: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> n
     left = np.flatnonzero(lengths > 0)
     d = 0
     while len(left):
+        if len(left) <= 64:  # a few, however long
+            for i in left.tolist():
+                same[i] = np.array_equal(s[a[i] + d : a[i] + lengths[i]], s[b[i] + d : b[i] + lengths[i]])
+            break
         equal = s[a[left] + d] == s[b[left] + d]
         same[left[~equal]] = False
         left = left[equal]
@@ -125,13 +146,16 @@ def _same(s: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> n
 def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     """Places of s, whose values are below symbols, in order of the suffixes that begin there."""
     n = len(s)
-    if symbols > ALPHABET or n < 3:
-        return doubled(s)
+    if n < 3:
+        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
     types = s_types(s)
     lms = np.flatnonzero(types[1:] & ~types[:-1]) + 1
     starts = np.concatenate(([0], np.cumsum(np.bincount(s, minlength=symbols))))
+    ends = np.flatnonzero(s[1:] != s[:-1])
+    longest = int(np.diff(ends, prepend=-1, append=n - 1).max())  # a run of one symbol takes as many waves
+    by = induce if n > WAVE * symbols and longest <= WAVE else induce_singly
     if len(lms) > 1:
-        sa = induce(s, types, lms, starts)
+        sa = by(s, types, lms, starts)
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         ordered = sa[is_lms[sa]]
@@ -148,7 +172,7 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
         names = name[lms]
         top = int(names.max()) + 1
         lms = lms[np.argsort(names) if top == len(lms) else suffix_array(names, top)]
-    return induce(s, types, lms, starts)
+    return by(s, types, lms, starts)
 
 
 def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
@@ -185,3 +209,28 @@ def permuted_common_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     out[left] = d
     last = np.maximum.accumulate(np.where(fresh, place, 0))
     return np.where(before >= 0, np.maximum(out[last] - (place - last), 0), 0)
+
+
+def doubled(s: np.ndarray) -> np.ndarray:
+    """Suffix array by prefix doubling, another way against which tests hold the first."""
+    n = len(s)
+    sa = np.argsort(s, kind="stable")
+    new = np.concatenate(([True], s[sa][1:] != s[sa][:-1]))
+    rank = np.empty(n, np.int64)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    width = 1
+    while True:
+        single = new & np.append(new[1:], True)
+        open_ = np.flatnonzero(~single)
+        if not len(open_):
+            return sa
+        i = sa[open_]
+        second = np.where(i + width < n, rank[np.minimum(i + width, n - 1)] + 1, 0)
+        first = rank[i]
+        order = np.lexsort((second, first))
+        i, first, second = i[order], first[order], second[order]
+        sa[open_] = i
+        fresh = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
+        new[open_] = fresh
+        rank[i] = np.maximum.accumulate(np.where(fresh, open_, 0))
+        width *= 2

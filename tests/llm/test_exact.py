@@ -89,3 +89,30 @@ def test_hot_keys(spark, monkeypatch):
     count.__module__ = "__main__"  # so that workers get this function, which sets the limit there
     monkeypatch.setattr(exact, "_count", count)
     check(spark, spark.read.parquet(f"{SF}/documents.parquet").limit(80))
+
+
+def test_a_string_of_very_many_texts(spark, monkeypatch):
+    """A passage that every text holds, each with other surroundings: its keys go through all rounds, whether a task or the count finds them hot."""
+    rng = random.Random(9)
+    text = lambda k: "".join(rng.choices("abcdefgh é", k=k))
+    passage = text(430)
+    rows = [(i, text(rng.randint(200, 500)) + passage + text(rng.randint(200, 500)), "en", "a", 1) for i in range(90)]
+    rows += [(200, rows[7][1] + "end", "en", "a", 1), (201, text(2000), "en", "a", 1)]
+    monkeypatch.setattr(exact, "IN_TASK", 3)
+    kinds = []
+    durable = exact.durable
+    monkeypatch.setattr(exact, "durable", lambda df: kinds.append(durable(df)) or kinds[-1])
+    got = check(spark, cases.docs(spark, rows).repartition(3))
+    assert len(kinds) == 3 and all(k.where("many").count() for k in kinds[:2])
+    assert all(r[2] >= 430 for r in got if r[0] < 90) and next(r[2] for r in got if r[0] == 201) == 0
+
+
+def test_pieces_of_equal_hashes_are_compared():
+    """Third and further pieces count as known only if their bytes are equal."""
+    import numpy as np
+
+    raw = b"aaaa" * 3 + b"bbbb"
+    n = 4
+    columns = [np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)]
+    got, known = exact._once(columns, np.arange(n) * 4, raw, 4)
+    assert got[2].tolist() == [0, 1, 2, 3] and known.tolist() == [False, False, True, False]

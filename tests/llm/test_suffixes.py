@@ -39,3 +39,23 @@ def test_a_longer_text():
     for i, j in zip(a[::50].tolist(), b[::50].tolist()):
         k = int(plcp[j])
         assert data[i : i + k] == data[j : j + k] and data[i + k : i + k + 1] != data[j + k : j + k + 1]
+
+
+def test_long_runs_and_equal_long_substrings():
+    parts = [b"a" * 3000 + b"b", b"a" * 3000 + b"b", b"ba" * 900, bytes(range(97, 123)) * 40, b"z" * 2000]
+    s = np.frombuffer(b"".join(parts * 2), np.uint8)
+    assert suffixes.suffix_array(s, 256).tolist() == suffixes.doubled(s).tolist()
+
+
+def test_all_levels_are_induced(monkeypatch):
+    """The recursion sorts names, not only bytes, whatever their number; both ways of induction agree."""
+    seen = []
+    real = suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda s, k: seen.append(k) or real(s, k))
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 110, int(rng.integers(2, 9))).astype(np.uint8)) for _ in range(3000)]
+    data = np.frombuffer(b" ".join(words[int(i)] for i in np.minimum(rng.zipf(1.3, 80000) - 1, 2999)), np.uint8)
+    got = suffixes.suffix_array(data, 256)
+    assert len(seen) > 2 and max(seen) > 4096 and got.tolist() == suffixes.doubled(data).tolist()
+    monkeypatch.setattr(suffixes, "WAVE", 1 << 40)
+    assert suffixes.suffix_array(data, 256).tolist() == got.tolist()
