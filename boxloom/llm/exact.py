@@ -11,7 +11,8 @@ Suffixes are dealt to shards by content, so that equal long strings meet in one
 3. Pieces of repeated keys travel with their bytes, each distinct one of a task once, to the shard of their key, with two places of a task
    at most; further ones have the same bytes and repeat. What is known goes straight to its text.
 4. Each shard sorts its suffixes by induction and computes permuted common prefixes; a start repeats if its suffix has the width in
-   common with a neighbour's, or its piece stands in two places. Hashes only choose shards here.
+   common with a neighbour's, or its piece stands in two places (of equal pieces a shard holds one; the only piece of a key has nothing to be
+   sorted with). Hashes only choose shards here.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from ._common import Rolling, bucket_count, byte_values, durable, extended, mix,
 from .suffixes import permuted_common_prefixes, suffix_array
 
 WIDTH, GRAM = 400, 32
-#: Bytes of a shard's string; one key's pieces stay together.
-SHARD = 3 << 20
+#: Bytes of a shard's string, such that its lists stay in a core's cache; one key's pieces stay together.
+SHARD = 1 << 18
 #: Into how many classes an anchor's offsets are divided, round by round; the last round is of whole windows.
 CLASSES = (2, 16, None)
 #: A key of more distinct pieces than this, or than IN_TASK of one lot of a task, goes on to the next round.
@@ -218,9 +219,9 @@ def _sorted_shards(width: int):
         shard: dict[bytes, int] = {}
         size = 0
 
-        def judge() -> Iterator[pa.RecordBatch]:
+        def judged(repeated: dict[bytes, np.ndarray]) -> Iterator[pa.RecordBatch]:
             rows = []
-            for piece, starts in _repeated(shard, width).items():
+            for piece, starts in repeated.items():
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], starts, [False])))).reshape(-1, 2)
                 if len(edge):
                     for ids, check, first in zip(*(x.tolist() for x in _groups(("<i8", "<i8", "<i4"), _joined(of[piece])))):
@@ -228,18 +229,22 @@ def _sorted_shards(width: int):
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["id", "check", "starts"])
 
+        alone: dict[bytes, np.ndarray] = {}
         for key in sorted(keys):
-            # one key's pieces together; a piece that stands in one place under a key of its own can't repeat
-            if len(keys[key]) == 1 and len(_joined(of[keys[key][0]])) == 20:
-                continue
+            # one key's pieces together; nothing else holds a window of a key's only piece, which repeats if it stands in two places
             for piece in keys[key]:
-                shard[piece] = len(set(zip(*(x.tolist() for x in _groups(("<i8", "<i8", "<i4"), _joined(of[piece]))))))
-                size += len(piece)
+                n = len(set(zip(*(x.tolist() for x in _groups(("<i8", "<i8", "<i4"), _joined(of[piece]))))))
+                if len(keys[key]) > 1:
+                    shard[piece] = n
+                    size += len(piece)
+                elif n > 1:
+                    alone[piece] = np.ones(len(piece) - width + 1, bool)
             if size > SHARD:
-                yield from judge()
+                yield from judged(_repeated(shard, width))
                 shard, size = {}, 0
         if shard:
-            yield from judge()
+            yield from judged(_repeated(shard, width))
+        yield from judged(alone)
 
     return run
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Buckets of fewer places than this, on average, are induced place by place instead of in waves, as are strings with longer runs of one symbol.
-WAVE = 1 << 10
+WAVE = 1 << 8
 
 
 def s_types(s: np.ndarray) -> np.ndarray:
