@@ -70,3 +70,36 @@ def test_packing():
     got = substrings._unpack(substrings._pack(ids, sums, text, place, hashes))
     assert all(np.array_equal(a, b) for a, b in zip(got, (ids[text], sums[text], place, hashes)))
     assert not len(substrings._unpack(substrings._pack(ids, sums, text, place))[3])
+
+
+def collision():
+    """Two texts of 20 words that differ in the last one, a Thue-Morse word or its complement: a polynomial modulo 2 ** 64 gives both one hash."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    first = [f"w{i}" for i in range(19)]
+    return [" ".join([*first, "".join("ab"[b ^ x] for b in bits)]) for x in (0, 1)]
+
+
+def test_equal_hashes_are_not_equal_words(spark):
+    one, two = collision()
+    data = [substrings.utf8(__import__("pyarrow").array([t])) for t in (one, two)]
+    assert substrings.window_hashes(*data[0], 20)[0][0] == substrings.window_hashes(*data[1], 20)[0][0]
+    rows = [(1, one), (2, two), (3, f"{two} more"), (4, f"x {one}\n{two}  {one}"), (5, two), (6, f"{one} {two}"), (7, f"a {two} b {one}")]
+    d = cases.docs(spark, [(i, t, "en", "a", 1) for i, t in rows])
+    for n in (1, 4, 7):  # in one task, and in several
+        check(spark, d.repartition(n))
+
+
+def test_all_hashes_equal(spark, monkeypatch):
+    """With hashes that say nothing the words alone give the result."""
+    real = substrings.window_hashes
+
+    def none(data, offsets, window):
+        h, text, place = real(data, offsets, window)
+        return h % np.uint64(3) << np.uint64(60), text, place
+
+    none.__module__ = "__main__"  # so that workers get this function
+    monkeypatch.setattr(substrings, "window_hashes", none)
+    rng = random.Random(3)
+    shared = [f"s{j}" for j in range(60)]
+    rows = [(i, " ".join([f"u{rng.randint(0, 99)}" for _ in range(rng.randint(0, 9))] + shared[rng.randint(0, 30) :] + [f"u{i}"]), "en", "a", 1) for i in range(25)]
+    check(spark, cases.docs(spark, [*rows, (3, "other words " * 15, "en", "a", 1)]).repartition(5))
