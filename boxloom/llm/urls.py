@@ -9,8 +9,9 @@ from ._common import durable, read
 
 #: Rules of the contract: host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Listed canonical URLs: a host with all its subdomains and paths ends in a slash.
-LISTED = ("spam-farm.example.org/", "cheap-pills.example.com/", "casino-win.example.org/", "free-bets.example.com/", "adult-x.example.net/", "ads-track.example.org/")
+#: Sites of the query's list, under each of the domains kept for examples: the names are those of the test tables' unwanted sites.
+SITES, DOMAINS = ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track"), ("example.com", "example.net", "example.org")
+LISTED = tuple(f"{site}.{domain}/" for site in SITES for domain in DOMAINS)
 BITS_PER_KEY, BLOCK_BITS, PROBES = 16, 512, 8
 #: Keys whose filter (2 bytes each) and whose exact table are broadcast; a longer list is joined by shuffling.
 BROADCAST_KEYS = 1_000_000
@@ -34,12 +35,26 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def plain_host(host: Column) -> Column:
+    """The host without user, port and last dots."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", ""), r"\.+$", "")
+
+
+def canonical(url: str) -> Column:
+    """Of a listed URL, with or without a scheme: host/ for a whole host, else host/path without a last slash; query and fragment don't count; null without a host."""
+    u = F.regexp_replace(F.regexp_replace(F.col(url), r"^[^/?#]*://", ""), r"[?#].*$", "")
+    host = plain_host(F.translate(F.regexp_extract(u, r"^([^/]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    return F.when(host != "", F.concat(host, F.lit("/"), F.regexp_extract(u, r"^[^/]*/*(.*?)/*$", 1)))
+
+
 def lookups(host: Column, path: Column) -> Column:
-    """Canonical URLs under which a list can name this one: the host and its parent domains with a slash; the whole path, without a last slash."""
+    """Canonical URLs under which a list can name this one: the host and its parent domains as a whole; the path and what it lies under."""
+    host = plain_host(host)
     labels = F.split(host, r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.array_join(F.slice(labels, i, F.size(labels)), "."), F.lit("/")))
-    whole = F.concat(host, F.regexp_replace(path, r"/+$", ""))
-    return F.array_distinct(F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(hosts, F.array(whole))))
+    parts = F.split(F.regexp_extract(path, r"^/*(.*?)/*$", 1), "/")
+    paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
+    return F.array_distinct(F.when(host == "", F.array().cast("array<string>")).otherwise(F.concat(hosts, paths)))
 
 
 def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
@@ -61,16 +76,18 @@ def judge_urls(
 ) -> DataFrame:
     """pages (or its columns keep) with host, path, rule, verdict and listed (the listed URL that fits, the longest, else null).
 
-    A rule's verdict stands; else a page is blocked if a listed canonical URL fits it, and allowed otherwise. Every URL is
-    looked up under its own canonical form and its host's parent domains: a blocked Bloom filter lets possible hits pass, an exact join
+    A rule's verdict stands; else a page is blocked if a listed canonical URL fits it, and allowed otherwise. Both sides are made
+    canonical: hosts in lower case without user, port and last dot, paths without last slashes, no query or fragment; escapes stay as they are.
+    A listed host (alone or with a slash) fits itself and all subdomains; a listed path fits its host's pages at it and below it. Every URL is
+    looked up under its path's beginnings and its host's parent domains: a blocked Bloom filter lets possible hits pass, an exact join
     on the listed URLs removes the false ones. Null urls and ones without :// have an empty host and are allowed; empty, null
     and repeated listed URLs add nothing; repeated pages are judged each; empty tables are fine; a column called like a
-    new one is an error.
+    new one is an error. A very long URL makes as many lookups as it has labels and path segments.
     """
     carried = pages.columns if keep is None else keep
     if clash := [c for c in carried if c.lower().startswith(prefix.lower())]:
         raise ValueError(f"columns {clash} are there already: choose another prefix")
-    keys = durable(listed.select(F.col(listed_url).alias("key")).where("key <> ''").distinct())
+    keys = durable(listed.select(canonical(listed_url).alias("key")).where("key IS NOT NULL").distinct())
     n = keys.count()
     blocks = max(1, -(-n * BITS_PER_KEY // BLOCK_BITS))
     small = (lambda df: F.broadcast(df)) if n <= BROADCAST_KEYS else (lambda df: df)
@@ -111,5 +128,6 @@ q AS (SELECT page_id, host, path,
         (SELECT max_by(h || p, length(h || p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS rule,
         (SELECT max_by(v, length(h || p)) FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS v FROM p)
 SELECT page_id, host, path, rule,
-  coalesce(v, CASE WHEN EXISTS (SELECT 1 FROM l WHERE host = h OR ends_with(host, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict FROM q
+  coalesce(v, CASE WHEN EXISTS (SELECT 1 FROM l WHERE plain = h OR ends_with(plain, '.' || h)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') AS plain FROM q)
 """
