@@ -8,17 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one of our own only where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names, or the context's checkpoint folder.
+
+    Where neither is set a local session, as in tests, gets a temporary folder of its own; on a cluster, whose machines share no such
+    folder, that is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="boxloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint in the shared folder."""
+    """Cut the lineage of df with a reliable checkpoint in the shared folder.
+
+    Spark removes the files when the result is no longer referenced, if spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     folder = shared_folder(df.sparkSession)
     if not df.sparkSession.sparkContext.getCheckpointDir():
         df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
