@@ -26,8 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node reachable from each node of edges (a, b: long), roots themselves left out.
 
     Each round joins every node's neighbours with the smallest one of them and is checkpointed; rounds grow with the logarithm of the
-    largest component. A node of many edges is a hot join key that AQE splits. Null ends must not occur; loops and repeated edges add
-    nothing; an empty table gives an empty one.
+    largest component. A node of many edges is a hot join key that AQE splits. Loops, repeated edges and edges with a null end add
+    nothing; an empty table gives an empty one; other columns of edges aren't looked at.
     """
 
     def state(e: DataFrame) -> tuple:

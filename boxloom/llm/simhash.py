@@ -250,17 +250,35 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return marked.join(distinct.join(ids, "root").select("fp", "component_id"), "fp").select(null("node").alias(key), "fp", null("component_id").alias("component_id"))
 
 
+#: Keys of documents that go up to which they are broadcast (16 bytes each); beyond it the join shuffles.
+BROADCAST_KEYS = 1_000_000
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest key; of several rows with it, one of the smallest hash of a text.
 
-    Else as near_duplicates. Columns called nd_node or nd_sum are an error.
+    Else as near_duplicates; of repeated rows (equal keys and texts) one stays. Columns called nd_node or nd_sum are an error. What stays is
+    found from keys and hashes alone; whole texts are only filtered, and shuffled only if more than BROADCAST_KEYS rows go.
     """
     if clash := {"nd_node", "nd_sum"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {sorted(clash)} are there already")
-    _, distinct = _judged(docs, key, text)
-    kept = distinct.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.node").alias("nd_node"), F.col("first.sum").alias("nd_sum"))
-    rows = docs.withColumns({"nd_node": _node(key), "nd_sum": F.xxhash64(text)}).join(kept, ["nd_node", "nd_sum"])
-    return rows.dropDuplicates(["nd_node", "nd_sum"]).select(*docs.columns)
+    marked, distinct = _judged(docs, key, text)
+    kept = distinct.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.node").alias("node"), F.col("first.sum").alias("sum"), F.lit(True).alias("stays"))
+    keys = marked.groupBy("node", "sum").agg(F.count(F.lit(1)).alias("n")).join(kept, ["node", "sum"], "left")
+    keys = durable(keys.where("stays IS NULL OR n > 1").select(F.col("node").alias("nd_by_node"), F.col("sum").alias("nd_by_sum"), F.col("stays").isNull().alias("goes")))
+    sizes = keys.groupBy("goes").count().collect()
+
+    def those(goes: bool) -> DataFrame:
+        small = sum(r["count"] for r in sizes if r["goes"] == goes) <= BROADCAST_KEYS
+        some = keys.where("goes" if goes else "NOT goes").drop("goes")
+        return F.broadcast(some) if small else some.hint("shuffle_hash")
+
+    same = F.expr("nd_node = nd_by_node AND nd_sum = nd_by_sum")
+    out = docs.withColumns({"nd_node": _node(key), "nd_sum": F.xxhash64(text)}).join(those(True), same, "left_anti")
+    if any(not r["goes"] for r in sizes):
+        once = out.join(those(False), same, "left_semi").dropDuplicates(["nd_node", "nd_sum"])
+        out = out.join(those(False), same, "left_anti").unionByName(once)
+    return out.select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
