@@ -72,29 +72,28 @@ def m3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir)
-    return candidates.targets(b, candidates.budget(b))
+    return candidates.budgeted(boxes(spark, sf_dir))
 
 
 DISTANCE = "((abs(t.{0}[1] - c.{0}[1]) + abs(t.{0}[2] - c.{0}[2]) + abs(t.{0}[3] - c.{0}[3])) / 3.0::DOUBLE)"
 
 
 SPLICED = TARGETS + f"""
-, s AS (SELECT len_text, Width, Height, CAST(ceil(count(*) / 100.0::DOUBLE) AS INT) AS n_chunks FROM boxes GROUP BY 1, 2, 3),
+, s AS (SELECT len_text, Width, Height, CAST(ceil(count(*) / 2000.0::DOUBLE) AS INT) AS n_chunks FROM boxes GROUP BY 1, 2, 3),
 tc AS (SELECT t.*, CAST(floor({U("filename || ':' || box_id", 'look')} * n_chunks) AS INT) AS chunk FROM targets t JOIN s USING (len_text, Width, Height)),
 bc AS (SELECT b.*, CAST(floor({U("filename || ':' || box_id", 'chunk')} * n_chunks) AS INT) AS chunk FROM boxes b JOIN s USING (len_text, Width, Height)),
 p AS (SELECT t.filename, t.box_id, c.filename AS source, c.box_id AS source_box, greatest({DISTANCE.format('fg_color')}, {DISTANCE.format('bg_color')}) AS d, ({DISTANCE.format('fg_color')} + {DISTANCE.format('bg_color')}) / 2 AS mean_d
   FROM tc t JOIN bc c ON t.chunk = c.chunk AND t.len_text = c.len_text AND t.Width = c.Width AND t.Height = c.Height AND t.filename <> c.filename AND trim(t.text) <> trim(c.text)),
-n AS (SELECT filename, box_id, {', '.join(f'count(*) FILTER (d <= {t}) AS n{t}' for t in range(1, 20))} FROM p GROUP BY 1, 2),
-k AS (SELECT p.*, coalesce({', '.join(f'CASE WHEN n{t} <= 20 THEN {t} END' for t in range(19, 0, -1))}, 1) AS tau FROM p JOIN n USING (filename, box_id)),
+n AS (SELECT filename, box_id, {', '.join(f'count(*) FILTER (d <= {t}) AS n{t}' for t in range(1, 7))} FROM p GROUP BY 1, 2),
+k AS (SELECT p.*, coalesce({', '.join(f'CASE WHEN n{t} <= 500 THEN {t} END' for t in range(6, 0, -1))}, 1) AS tau FROM p JOIN n USING (filename, box_id)),
 o AS (SELECT *, row_number() OVER (PARTITION BY filename, box_id ORDER BY {U("filename || ':' || box_id || ':' || source || ':' || source_box", 'splice')}, source, source_box) AS place FROM k WHERE d <= tau)
 """
 
 
-@query("j4_splicing", SPLICED + """SELECT filename, box_id, CAST(tau AS INT) AS tau, count(*) AS n, min_by(source, place) AS source, min_by(source_box, place) AS source_box FROM o WHERE place <= 20 GROUP BY 1, 2, 3""")
+@query("j4_splicing", SPLICED + """SELECT filename, box_id, CAST(tau AS INT) AS tau, count(*) AS n, min_by(source, place) AS source, min_by(source_box, place) AS source_box FROM o WHERE place <= 500 GROUP BY 1, 2, 3""")
 def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At most 20 candidates for each target, tolerances from 19 down, chunks of some 100 boxes."""
-    s = candidates.splicing(chosen(spark, sf_dir), boxes(spark, sf_dir), 20, 19, 100)
+    """At most 500 candidates for each target, tolerances from 6 down, chunks of some 2,000 boxes."""
+    s = candidates.splicing(chosen(spark, sf_dir), boxes(spark, sf_dir))
     return s.groupBy("filename", "box_id", "tau").agg(F.count(F.lit(1)).alias("n"), F.min_by("source", "place").alias("source"), F.min_by("source_box", "place").alias("source_box"))
 
 
