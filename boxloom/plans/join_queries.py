@@ -145,9 +145,14 @@ def w1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.chained(boxes(spark, sf_dir)).select("filename", "box_id", "line_id")
 
 
-@query("w2_lines_anchored")
+@query("w2_lines_anchored", LAYOUT + """
+, g AS (SELECT filename, list({'id': box_id, 'top': H_b, 'bottom': H_h, 'line': -1, 'lines': CAST([] AS INT[])} ORDER BY H_b, W_d, box_id) AS l FROM boxes GROUP BY filename),
+f AS (SELECT filename, list_transform(l, lambda x: x.id) AS ids,
+  list_reduce(l, lambda a, x: CASE WHEN abs(x.top - a.top) > 2 OR abs(x.bottom - a.bottom) > 2 THEN {'id': x.id, 'top': x.top, 'bottom': x.bottom, 'line': a.line + 1, 'lines': list_append(a.lines, CAST(a.line + 1 AS INT))}
+      ELSE {'id': x.id, 'top': a.top, 'bottom': a.bottom, 'line': a.line, 'lines': list_append(a.lines, a.line)} END,
+    {'id': -1, 'top': -1000000, 'bottom': -1000000, 'line': -1, 'lines': CAST([] AS INT[])}).lines AS lines FROM g)
+SELECT filename, unnest(ids) AS box_id, unnest(lines) AS line_id FROM f""")
 def w2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without SQL, which has no ordered fold; tested against brute force."""
     return lines.anchored_arrow(boxes(spark, sf_dir))
 
 

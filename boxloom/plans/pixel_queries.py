@@ -113,9 +113,27 @@ def g25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frequency.otsu(frequency.pixels(blocks(spark, sf_dir), "vec_id", "b"), "vec_id")
 
 
-@query("r1_sauvola_r2_otsu_r3_components_r4_cut")
+MIRROR = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} > 7 THEN 14 - ({0}) ELSE {0} END"
+
+
+@query("r1_sauvola_r2_otsu_r3_components_r4_cut", PIXELS.replace("WITH", "WITH RECURSIVE", 1) + f"""
+, h AS (SELECT vec_id, v AS t, count(*) AS n FROM p GROUP BY 1, 2),
+c AS (SELECT vec_id, t, sum(n) OVER o AS w0, sum(n * t) OVER o AS s0, sum(n) OVER (PARTITION BY vec_id) AS w, sum(n * t) OVER (PARTITION BY vec_id) AS s FROM h WINDOW o AS (PARTITION BY vec_id ORDER BY t ROWS UNBOUNDED PRECEDING)),
+b AS (SELECT vec_id, t, round(coalesce(CAST(w0 AS DOUBLE) * (w - w0) * pow(CAST(s0 AS DOUBLE) / w0 - CAST(s - s0 AS DOUBLE) / nullif(w - w0, 0), 2), 0), 3) AS b FROM c),
+otsu AS (SELECT vec_id, arg_max(t, (b, -t)) AS otsu FROM b GROUP BY vec_id),
+near AS (SELECT dy, dx FROM (SELECT unnest(range(-2, 3)) AS dy) a, (SELECT unnest(range(-2, 3)) AS dx) b),
+around AS (SELECT p.vec_id, p.x, p.y, p.v, {MIRROR.format('p.x + dx')} AS qx, {MIRROR.format('p.y + dy')} AS qy FROM p, near),
+stats AS (SELECT a.vec_id, a.x, a.y, any_value(a.v) AS v, sum(q.v) / 25.0::DOUBLE AS m, sum(q.v * q.v) / 25.0::DOUBLE AS sq FROM around a JOIN p q ON q.vec_id = a.vec_id AND q.x = a.qx AND q.y = a.qy GROUP BY 1, 2, 3),
+t AS (SELECT *, m * (1 + 0.5 * (sqrt(greatest(sq - m * m, 0)) / 128 - 1)) AS t FROM stats),
+ink AS (SELECT vec_id, x, y, y * 8 + x AS pos FROM t WHERE v < t),
+reach AS (SELECT vec_id, x, y, pos AS root FROM ink UNION SELECT i.vec_id, i.x, i.y, r.root FROM reach r JOIN ink i ON i.vec_id = r.vec_id AND abs(i.x - r.x) <= 1 AND abs(i.y - r.y) <= 1 AND i.pos > r.root),
+parts AS (SELECT vec_id, root, count(*) AS area FROM (SELECT vec_id, x, y, min(root) AS root FROM reach GROUP BY 1, 2, 3) GROUP BY 1, 2),
+sizes AS (SELECT vec_id, count(*) AS n, max(area) AS largest FROM parts GROUP BY 1),
+cut AS (SELECT vec_id, any_value(otsu) AS otsu, count(*) FILTER (v <= otsu) BETWEEN 1 AND 63 AND bool_or(v <= otsu AND (x IN (0, 7) OR y IN (0, 7))) AS cut FROM p JOIN otsu USING (vec_id) GROUP BY 1)
+SELECT t.vec_id, round(avg(t), 6) AS mean_threshold, CAST(count(*) FILTER (v < t) AS INT) AS n_ink, CAST(coalesce(any_value(sizes.n), 0) AS INT) AS n_components, CAST(coalesce(any_value(largest), 0) AS INT) AS largest, CAST(any_value(otsu) AS INT) AS otsu, any_value(cut) AS cut
+FROM t JOIN cut USING (vec_id) LEFT JOIN sizes USING (vec_id) GROUP BY t.vec_id""")
 def r1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rasters of 8 x 8; without SQL, tested against brute force."""
+    """Rasters of 8 x 8."""
     return blocks(spark, sf_dir).select("vec_id", raster.raster_report("b").alias("r")).select("vec_id", "r.*")
 
 
