@@ -1,10 +1,15 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark texts."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark texts.
+
+Of an item's windows the automaton holds every other half: the blocks of (window + 1) // 2 words at multiples of that length, of which each
+window holds one whole. Where a block stands in a text, the windows around it are looked up as they are. This takes a fifth of the memory
+of an automaton of all windows.
+"""
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -12,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ALNUM, extended, read
-
-#: Bytes of benchmark text that one automaton takes; further items go to further automata, each scanned in turn.
-BLOCK_BYTES = 8 << 20
+from ._common import ALNUM, extended, read, slices
 
-_built: dict[str, tuple] = {}
+#: Bytes of benchmark text that one automaton takes (some 80 bytes of memory for each); further items go to further automata, each scanned in turn.
+BLOCK_BYTES = 4 << 20
+#: A benchmark of more bytes is refused: it is broadcast, and a worker keeps so many automata.
+MOST_BYTES, KEPT = 64 << 20, 2
 
 
 def words(text: str | None) -> list[bytes]:
@@ -31,53 +36,65 @@ def windows_of(text: str | None, window: int) -> set[bytes]:
     return {b" ".join(w[i : i + window]) for i in range(len(w) - window + 1)}
 
 
-def _automaton(items: list[tuple[str, str]], window: int) -> tuple:
-    """One automaton for the block, kept by each worker: pattern -> (its index); the items of each pattern; its words."""
-    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
-    if key not in _built:
-        of: dict[bytes, set[str]] = defaultdict(set)
-        for item, text in items:
-            for w in windows_of(text, window):
-                of[w].add(item)
-        machine = ahocorasick.Automaton()
-        patterns = sorted(of)
-        for i, p in enumerate(patterns):
-            machine.add_word(f" {p.decode()} ", i)
-        if patterns:
-            machine.make_automaton()
-        _built[key] = machine, [sorted(of[p]) for p in patterns], [p.count(b" ") + 1 for p in patterns], [len(p.decode()) + 2 for p in patterns]
-    return _built[key]
-
-
-def scan(text: str | None, machines: list[tuple]) -> tuple[int, list[tuple[int, int]], set[str]]:
+class Machine(NamedTuple):
+    blocks: ahocorasick.Automaton  # words of a block, or of a whole short item -> the number of its words
+    windows: dict[bytes, list[str]]  # the items of each window
+    window: int
+
+
+def machine(items: list[tuple[str, str]], window: int) -> Machine:
+    of: dict[bytes, set[str]] = defaultdict(set)
+    half = (window + 1) // 2
+    out = ahocorasick.Automaton()
+    for item, text in items:
+        for w in windows_of(text, window):
+            of[w].add(item)
+        w = words(text)
+        for block in [w[i : i + half] for i in range(0, len(w) - half + 1, half)] if len(w) >= window else [w] if w else []:
+            out.add_word(f" {b' '.join(block).decode()} ", len(block))
+    if len(out):
+        out.make_automaton()
+    return Machine(out, {k: sorted(v) for k, v in of.items()}, window)
+
+
+def scan(text: str | None, machines: Iterator[Machine] | list[Machine]) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Words of the text, merged runs of hit words as [first, last + 1), and the items that occur."""
-    found = (text or "").encode().translate(ALNUM).split()
+    found = words(text)
     if not found:
         return 0, [], set()
     # the automaton's positions are those of code points in the words joined by one space
     line = f" {b' '.join(found).decode()} "
-    hits: set[int] = set()
-    runs: list[tuple[int, int]] = []
+    runs: set[tuple[int, int]] = set()
     items: set[str] = set()
-    for machine, of, n_words, n_chars in machines:
-        matched = list(machine.iter(line)) if len(machine) else []
+    for m in machines:
+        matched = list(m.blocks.iter(line)) if len(m.blocks) else []
         if not matched:
             continue
-        ends = np.array([e for e, _ in matched])
-        which = np.array([p for _, p in matched])
-        starts = ends + 1 - np.array(n_chars)[which]
         blanks = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
-        first = np.searchsorted(blanks, starts)
-        runs += zip(first.tolist(), (first + np.array(n_words)[which]).tolist())
-        hits.update(which.tolist())
-        items.update(x for p in set(which.tolist()) for x in of[p])
-    merged: list[tuple[int, int]] = []
+        after = np.searchsorted(blanks, np.array([e for e, _ in matched])).tolist()
+        half = (m.window + 1) // 2
+        tried: set[tuple[int, int]] = set()
+        for end, (_, n) in zip(after, matched):
+            begin = end - n
+            # a block's windows, and the short item itself
+            some = {(begin, end), *((a, a + m.window) for a in range(max(0, begin + half - m.window), begin + 1))} if n == half else {(begin, end)}
+            for a, b in some - tried:
+                if of := m.windows.get(b" ".join(found[a:b])):
+                    if b <= len(found):
+                        runs.add((a, b))
+                        items.update(of)
+            tried |= some
+    return len(found), merged(runs), items
+
+
+def merged(runs) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
     for a, b in sorted(runs):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = merged[-1][0], max(b, merged[-1][1])
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
         else:
-            merged.append((a, b))
-    return len(found), merged, items
+            out.append((a, b))
+    return out
 
 
 def char_spans(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -110,13 +127,20 @@ def decontaminate(
     New columns, named with prefix: n_words, n_hit, items (array<string>, sorted as strings), spans
     (array<struct<start,end>>: code point ranges of the original text, merged) and contaminated.
 
-    The benchmark is a stated query set that the driver reads; BLOCK_BYTES bounds an automaton, and more text makes more
-    automata. Null or empty texts have no words and no hits; items without words match nothing; a null item is the empty string; rows are judged one by
-    one, so repeated rows get equal results; an empty table gives an empty one. Columns of docs stay as they are; one
-    that is called like a new column is an error.
+    The benchmark is a stated query set that the driver reads and broadcasts once, after its size was summed up: more than MOST_BYTES is an error
+    (split it and join the results). BLOCK_BYTES bounds an automaton; more text makes more automata, each of which scans a text again, and of which
+    a worker keeps KEPT, so that more than those are built anew for each batch of rows.
+
+    Null or empty texts have no words and no hits; items without words match nothing; a null item is the empty string; rows are judged one by
+    one, so repeated rows get equal results, and a very long one is scanned whole in one task; an empty table gives an empty one. Columns of docs
+    stay as they are; one that is called like a new column is an error.
     """
-    rows = sorted((str(r[0]), r[1] or "") for r in benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(item_text)).collect())
-    parts = blocks(rows, BLOCK_BYTES)
+    bench = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    size = bench.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"the benchmark has {size} bytes, of which {MOST_BYTES} at most are broadcast: split it")
+    sent = docs.sparkSession.sparkContext.broadcast(blocks(sorted(map(tuple, bench.collect())), BLOCK_BYTES))
+    kept = KEPT
     schema = extended(
         docs,
         keep,
@@ -125,15 +149,23 @@ def decontaminate(
     carried = [f.name for f in schema.fields[:-5]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [_automaton(p, window) for p in parts]
-        for batch in batches:
-            n, hit, items, spans = [], [], [], []
-            for t in batch.column(text).to_pylist():
-                k, runs, found = scan(t, machines)
-                n.append(k)
-                hit.append(sum(b - a for a, b in runs))
-                items.append(sorted(found))
-                spans.append([{"start": a, "end": b} for a, b in char_spans(t, runs)] if runs else [])
+        parts = sent.value
+        held = [machine(p, window) for p in parts[:kept]]
+        for batch in slices(batches, text, 32 << 20):
+            texts = batch.column(text).to_pylist()
+            runs_of: list[list[tuple[int, int]]] = [[] for _ in texts]
+            items_of: list[set[str]] = [set() for _ in texts]
+            n = [0] * len(texts)
+            for k in range(len(parts)):
+                m = held[k] if k < kept else machine(parts[k], window)
+                for i, t in enumerate(texts):
+                    n[i], runs, found = scan(t, [m])
+                    runs_of[i] += runs
+                    items_of[i] |= found
+            runs_of = [merged(r) for r in runs_of]
+            hit = [sum(b - a for a, b in r) for r in runs_of]
+            items = [sorted(x) for x in items_of]
+            spans = [[{"start": a, "end": b} for a, b in char_spans(t, r)] if r else [] for t, r in zip(texts, runs_of)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in carried),
