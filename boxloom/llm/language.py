@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import durable, extended, mix, read
+from ._common import durable, extended, mix, read, slices
 
 #: n-grams of 1 to 3 characters, hashed to so many features.
 ORDERS, FEATURES = (1, 2, 3), 1 << 13
 #: Labelled documents of each language that training takes, on average, of up to LANGUAGES languages. More languages share the rows of that many, with
 #: LEAST of each at least: the bound is one on rows, every language is learned.
 SAMPLE, LANGUAGES, LEAST = 600, 64, 20
+#: Bytes of features (8 for each of a row) that training takes; if the sample has more, each language gives a smaller share of it, by the same hash.
+SAMPLE_BYTES = 64 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.05, 4
 #: This share of the sample calibrates the temperature and isn't trained on.
 CALIBRATION = 0.2
@@ -111,34 +113,37 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, langu
 def fit(labelled: DataFrame, text: str, lang: str, key: str) -> Model:
     """From labelled rows: document frequencies over all of them, weights of every language from a sample of about SAMPLE rows each (fewer beyond LANGUAGES).
 
-    A row is in the sample by a hash of its key, so the sample is the same in every run and doesn't grow with the table.
+    A row is in the sample by a hash of its key, so the sample is the same in every run and doesn't grow with the table: SAMPLE bounds its rows,
+    SAMPLE_BYTES its size on the driver, where it is sorted by content, so that equal rows (ties) can stand in any order. Rows with a null label
+    count towards the document frequencies only; null or empty texts count as a single space; a null key is hashed as such; an empty
+    table gives a model without languages. Very long texts count whole. Weights are dense, FEATURES + 1 numbers a language.
     """
-    per = labelled.groupBy(lang).count().collect()
+    per = labelled.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()
     languages = sorted(r[0] for r in per)
     if not languages:
         return Model([], np.zeros(FEATURES), np.zeros((FEATURES + 1, 0)), 1.0)
     each = max(LEAST, SAMPLE * min(1.0, LANGUAGES / len(per)))
     share = F.create_map(*(x for r in per for x in (F.lit(r[0]), F.lit(each / r[1]))))[F.col(lang)]
     draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    wanted = labelled.select(F.col(text).alias("text"), F.when(draw < share, F.col(lang)).alias("lang"))
+    wanted = labelled.select(F.col(text).alias("text"), F.when(draw < share, F.col(lang)).alias("lang"), (draw / F.least(share, F.lit(1.0))).alias("draw"))
+
+    names = ["lang", "draw", "some", "counts", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(FEATURES, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = []
-            for t, y in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+            for t, y, at in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "draw"))):
                 some, counts = counts_of(t)
                 df[some] += 1
                 n += 1
                 if y is not None:
-                    out.append((y, some.astype("<i4").tobytes(), counts.astype("<i8").tobytes()))
+                    out.append((y, at, some.astype("<i4").tobytes(), counts.astype("<f4").tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)] + [pa.nulls(len(out), pa.int64())], names=["lang", "some", "counts", "n"])
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(1, pa.string()), pa.nulls(1, pa.binary()), pa.array([df.astype("<i8").tobytes()]), pa.array([n], pa.int64())], names=["lang", "some", "counts", "n"]
-        )
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)] + [pa.nulls(len(out), pa.int64())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.float64()), pa.nulls(1, pa.binary()), pa.array([df.astype("<i8").tobytes()]), pa.array([n], pa.int64())], names=names)
 
-    made = durable(wanted.mapInArrow(run, "lang string, some binary, counts binary, n long"))
+    made = durable(wanted.mapInArrow(run, "lang string, draw double, some binary, counts binary, n long"))
     # sums by feature in Spark: what reaches the driver is FEATURES rows and the sample
     frequency = made.where("lang IS NULL").select("n", "counts").mapInArrow(_unpacked, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     df, total = np.zeros(FEATURES), 0
@@ -147,10 +152,10 @@ def fit(labelled: DataFrame, text: str, lang: str, key: str) -> Model:
             total = n
         else:
             df[f] = n
-    rows = [
-        (np.frombuffer(r["some"], "<i4"), np.frombuffer(r["counts"], "<i8"), r["lang"])
-        for r in made.where("lang IS NOT NULL").orderBy("lang", F.xxhash64("some", "counts"), "some", "counts").collect()
-    ]
+    sample = made.where("lang IS NOT NULL")
+    size = sample.agg(F.sum(F.length("some") + F.length("counts"))).first()[0] or 0
+    taken = sorted(sample.where(F.col("draw") < min(1.0, SAMPLE_BYTES / max(1, size))).select("lang", "some", "counts").collect())
+    rows = [(np.frombuffer(r["some"], "<i4"), np.frombuffer(r["counts"], "<f4").astype(float), r["lang"]) for r in taken]
     return train(rows, np.log((1 + total) / (1 + df)) + 1, languages)
 
 
@@ -170,7 +175,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "li
 
     Null texts and ones without a letter are "und" with score 0, as are all if no language was learned. Repeated rows get equal
     results; of equal probabilities the first language in order of name wins; an empty table gives an empty one; a column called
-    like a new one is an error.
+    like a new one is an error. A very long text is counted whole, PIECE characters at a time.
     """
     schema = extended(docs, keep, f"{prefix}pred string, {prefix}score double")
     carried = [f.name for f in schema.fields[:-2]]
@@ -178,7 +183,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", prefix: str = "li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in slices(batches, text):
             pred, score = [], []
             for t in batch.column(text).to_pylist():
                 if not t or not model.languages or not any(map(str.isalpha, t)):

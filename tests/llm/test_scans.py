@@ -190,3 +190,22 @@ def test_long_texts_count_as_whole(monkeypatch):
     monkeypatch.setattr(language, "PIECE", 37)
     parts = language.counts_of(text)
     assert all((a == b).all() for a, b in zip(whole, parts))
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, f"{x * 3} {x}{x} {i}", x, "a", 1) for i, x in enumerate("abcd" * 50)] + [(900, None, "a", "a", 1), (901, "text", None, "a", 1), (None, "bb bb", "b", "a", 1), (7, "ddd dd 7", "d", "a", 1)]
+    taken = []
+    real = language.train
+    monkeypatch.setattr(language, "train", lambda rows, *a: taken.append(rows) or real(rows, *a))
+    whole = language.fit(cases.docs(spark, rows), "text", "lang", "doc_id")
+    monkeypatch.setattr(language, "SAMPLE_BYTES", sum(8 * len(some) for some, _, _ in taken[0]) // 2)
+    half = language.fit(cases.docs(spark, rows).repartition(7), "text", "lang", "doc_id")
+    size = lambda t: sum(8 * len(some) for some, _, _ in t)
+    assert whole.languages == half.languages == [*"abcd"] and 0 < size(taken[1]) < 0.8 * size(taken[0])
+    assert (whole.idf == half.idf).all()
+
+
+def test_large_rates_and_totals(spark):
+    d = cases.docs(spark, [(i, "t", "en", "a", 1) for i in range(40)])
+    got = mixing.mix(d, weights={"a": 1.0}, total=40 * 2000)
+    assert abs(got.count() / 80000 - 1) < 0.02
