@@ -22,17 +22,25 @@ def uniform(*parts: Column | str) -> Column:
 def poisson_steps(rate: Column) -> Column:
     """P(X <= 0), P(X <= 1), ... of a Poisson distribution up to where it is 1 in double precision; in logarithms, for any rate."""
     most = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct((-rate).alias("log"), F.array(F.exp(-rate)).alias("cdf"))
+    # in blocks of about the root of their number, so that an array grows by few copies of itself
+    block = F.ceil(F.sqrt(most)).cast("int")
+    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("cdf"))
 
     def step(a: Column, k: Column) -> Column:
         log = a["log"] + F.log(rate) - F.log(k.cast("double"))
-        return F.struct(log.alias("log"), F.concat(a["cdf"], F.array(F.element_at(a["cdf"], -1) + F.exp(log))).alias("cdf"))
+        total = a["sum"] + F.exp(log)
+        return F.struct(log.alias("log"), total.alias("sum"), F.concat(a["cdf"], F.array(total)).alias("cdf"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most), start, step, lambda a: a["cdf"])).otherwise(F.array(F.lit(1.0)))
+    def steps(a: Column, first: Column) -> Column:
+        empty = F.struct(a["log"].alias("log"), a["sum"].alias("sum"), F.array().cast("array<double>").alias("cdf"))
+        one = F.aggregate(F.sequence(first, F.least(first + block - 1, most)), empty, step)
+        return F.struct(one["log"].alias("log"), one["sum"].alias("sum"), F.concat(a["cdf"], one["cdf"]).alias("cdf"))
 
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most, block), start, steps, lambda a: a["cdf"])).otherwise(F.array(F.lit(1.0)))
 
-def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, total: float | None) -> DataFrame:
-    """source, n, rate: mean copies of its documents, so that sources come out by weight and total documents in all (default: as many)."""
+
+def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, total: float | None) -> tuple[DataFrame, float]:
+    """source, n, rate: mean copies of its documents, so that sources come out by weight and total documents in all (default: as many); and copies a document."""
     by = docs.groupBy(F.col(source).alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weight = F.pow(F.col("n").cast("double"), F.lit(SMOOTHING))
@@ -42,7 +50,7 @@ def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, total:
     by = durable(by.withColumn("w", weight))
     sums = by.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
     scale = (sums["n"] if total is None else total) / sums["w"] if sums["w"] else 0.0
-    return by.select("mix_source", "n", (F.col("w") / F.col("n") * F.lit(float(scale))).alias("rate"))
+    return by.select("mix_source", "n", (F.col("w") / F.col("n") * F.lit(float(scale))).alias("rate")), 1.0 if total is None or not sums["n"] else total / sums["n"]
 
 
 def mix(
@@ -54,13 +62,15 @@ def mix(
     The count inverts the Poisson distribution of the source's rate at a hash of seed and key, so it is the same in every run and
     on any cluster. Sources without a weight have rate 0. A null source is one of its own (its weight comes from its count; explicit
     weights have none for it); a null key is hashed as such; rows with equal keys get equal counts; an empty table gives an empty
-    one; columns called like copy or order are an error. Texts aren't looked at.
+    one; columns called like copy or order are an error. Texts, however long, aren't looked at.
+
+    A count is looked up in its source's steps one by one, which takes no longer than making the copies does.
 
     Rows are dealt out by hash of the shuffle key and sorted by it in each partition: one exchange, no sampling pass.
     """
     if clash := {copy.lower(), order.lower(), "mix_source", "mix_cdf"} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns {sorted(clash)} are there already: choose other names")
-    table = rates(docs, source, weights, total)
+    table, copies_each = rates(docs, source, weights, total)
     table = table.select("mix_source", poisson_steps(F.col("rate")).alias("mix_cdf"))
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
@@ -70,7 +80,7 @@ def mix(
     n = F.size(F.filter("mix_cdf", lambda c: c <= u))
     copies = rated.withColumn(copy, F.explode(F.when(n > 0, F.sequence(F.lit(1), n)))).drop("mix_source", "mix_cdf")
     keyed = copies.withColumn(order, F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), k, F.col(copy).cast("string")).cast("binary")))
-    return keyed.repartition(bucket_count(docs, 2.0), order).sortWithinPartitions(order)
+    return keyed.repartition(bucket_count(docs, 2.0 * max(1.0, copies_each)), order).sortWithinPartitions(order)
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
