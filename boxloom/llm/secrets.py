@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import forest
-from ._common import extended, read
+from ._common import extended, read, slices
 
 #: Kinds of candidates in order of preference; the group "s" is the candidate, a whole run of any length. Each needs its keyword in the text ("": none).
 KINDS = (
@@ -35,8 +35,8 @@ KINDS = (
 )
 CONTEXT = 48
 THRESHOLD = 0.5
-#: Rows of labelled findings on which the forest is trained by default.
-LABELLED = 3000
+#: Rows of labelled findings on which the forest is trained by default, and at most from a table.
+LABELLED, MOST_LABELLED = 3000, 50_000
 
 #: Words of prose and of code; a random string holds few of them.
 DICTIONARY = frozenset(
@@ -177,9 +177,25 @@ def examples(findings: list[tuple[str, int, str, bool]]) -> tuple[np.ndarray, np
 
 
 def train(findings: list[tuple[str, int, str, bool]] | None = None) -> forest.Forest:
+    """From findings (text, start of the candidate, path, is it a secret); without any from those that labelled_findings makes."""
     return forest.fit(*examples(labelled_findings() if findings is None else findings))
 
 
+def train_on(labelled: DataFrame, text: str = "text", start: str = "start", path: str = "path", label: str = "label", most: int = MOST_LABELLED) -> forest.Forest:
+    """From a table of labelled findings, of which about most rows are taken by a hash of their content (the documented bound of what is learned from).
+
+    Rows with a null text, start or label are left out, a null path is empty, of repeated rows all or none are taken, other columns aren't
+    looked at; an empty table, or one whose findings no pattern proposes, is an error.
+    """
+    rows = labelled.select(F.col(text), F.col(start).cast("int"), F.coalesce(F.col(path), F.lit("")), F.col(label).cast("boolean")).toDF("t", "s", "p", "y").where("t IS NOT NULL AND s IS NOT NULL AND y IS NOT NULL")
+    n = rows.count()
+    taken = rows.where(F.pmod(F.xxhash64("t", "s", "p"), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, most / max(1, n)))))
+    x, y = examples(sorted(map(tuple, taken.collect())))
+    if not len(y):
+        raise ValueError("no labelled finding that a pattern proposes")
+    return forest.fit(x, y)
+
+
 class Finding(NamedTuple):
     start: int
     end: int
@@ -213,7 +229,8 @@ def scan_secrets(
     New columns, named with prefix: n_candidates, findings (array<struct<start,end,kind,score>>: code point ranges) and redacted (the
     text with each finding replaced by [SECRET]). path: the column with the text's path or source, part of what the forest
     looks at. Null texts have no candidates and stay null; a null path is empty; rows are judged one by one, so repeated rows
-    get equal results; an empty table gives an empty one; a column called like a new one is an error.
+    get equal results; of candidates that overlap (a tie) the kind that KINDS names first stays; an empty table gives an empty one; a column
+    called like a new one is an error. A very long text is scanned whole, in one task; a candidate is its whole run, however long.
     """
     schema = extended(docs, keep, f"{prefix}n_candidates long, {prefix}findings array<struct<start:int,end:int,kind:string,score:double>>, {prefix}redacted string")
     carried = [f.name for f in schema.fields[:-3]]
@@ -221,7 +238,7 @@ def scan_secrets(
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text):
             texts = batch.column(text).to_pylist()
             n, found = scan(texts, batch.column(path).to_pylist() if path else [None] * len(texts), model, threshold)
             yield pa.RecordBatch.from_arrays(
