@@ -63,6 +63,38 @@ def is_cut(a: np.ndarray, tolerance: int = 0) -> bool:
     return any(x <= tolerance or y <= tolerance or x + cw >= w - tolerance or y + ch >= h - tolerance for x, y, cw, ch, _ in components(ink))
 
 
+def crosses(boxes: list[tuple[int, ...]], left: int, right: int, top: int, bottom: int, inset: int, least: int) -> bool:
+    """Does a component of at least least pixels touch the rectangle without lying inset pixels within it?"""
+    return any(
+        area >= least and x <= right and x + w >= left and y <= bottom and y + h >= top and not (x >= left + inset and x + w <= right - inset and y >= top + inset and y + h <= bottom - inset)
+        for x, y, w, h, area in boxes
+    )
+
+
+def dark(a: np.ndarray) -> list[tuple[int, ...]]:
+    return components(a <= otsu_level(a))
+
+
+def cuts(page: np.ndarray, left: int, right: int, top: int, bottom: int, inset: int = 1, least: int = 4) -> tuple[bool, bool]:
+    """Does the crop cut ink, as it stands alone, and by it or by its context: half its height, 8 pixels at least, on all sides within the page?
+
+    Ink is what is not lighter than Otsu's level of the part that is looked at.
+    """
+    crop = page[top:bottom, left:right]
+    alone = crosses(dark(crop), 0, crop.shape[1], 0, crop.shape[0], inset, least)
+    around = max((bottom - top) // 2, 8)
+    x, y = max(0, left - around), max(0, top - around)
+    context = page[y : bottom + around, x : right + around]
+    return alone, alone or crosses(dark(context), left - x, right - x, top - y, bottom - y, inset, least)
+
+
+@F.pandas_udf(T.StructType([T.StructField("cut_alone", T.BooleanType()), T.StructField("cut", T.BooleanType())]))
+def cut_report(pixels: pd.Series, width: pd.Series, left: pd.Series, right: pd.Series, top: pd.Series, bottom: pd.Series) -> pd.DataFrame:
+    """cuts of a rectangle of each page."""
+    rows = [cuts(np.asarray(p, float).reshape(-1, w), *box) for p, w, *box in zip(pixels, width, left, right, top, bottom)]
+    return pd.DataFrame(rows, columns=["cut_alone", "cut"])
+
+
 def levels(embedding: Column) -> Column:
     """64 numbers as levels 0 to 255."""
     return F.transform(embedding, lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(x.cast("double") * 64 + 128).cast("int"))))

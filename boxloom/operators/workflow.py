@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Outcomes in order of the checks.
@@ -47,3 +47,26 @@ def over_production(resumed: DataFrame) -> DataFrame:
 def expand(resumed: DataFrame) -> DataFrame:
     """Items as often as they are left to make."""
     return resumed.where("left > 0").withColumn("idx", F.explode(F.expr("sequence(0, left - 1)")))
+
+
+def in_order(by: str, *order: str) -> WindowSpec:
+    return Window.partitionBy(by).orderBy(*order)
+
+
+def costly_tries(df: DataFrame, by: str, order: list[str], seconds: str) -> DataFrame:
+    """tries: of each by up to each row, one a row and one less than the whole seconds that it took, if that is more than none."""
+    cost = F.greatest(F.lit(0), F.floor(F.coalesce(seconds, F.lit(0))).cast("long") - 1)
+    return df.withColumn("tries", F.sum(1 + cost).over(in_order(by, *order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def memory_bank(df: DataFrame, by: str, step: str, item: str, steps: int = 3, most: int = 512) -> DataFrame:
+    """What a bank of each by holds after each step: of each of the last steps steps at most most items, by hash.
+
+    n_held, oldest (the first step of which something is held) and items; banks that hold nothing have no row. A bank is one row of at most
+    steps * most items.
+    """
+    first = Window.partitionBy(by, step).orderBy(F.md5(F.concat(F.col(item).cast("string"), F.lit(":bank")).cast("binary")), item)
+    kept = df.select(by, step, item).withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
+    held = kept.select(by, F.col(step).alias("of"), item, F.explode(F.sequence(F.col(step), F.col(step) + steps - 1)).alias(step))
+    there = df.select(step).distinct()
+    return held.join(there, step).groupBy(by, step).agg(F.count(F.lit(1)).alias("n_held"), F.min("of").alias("oldest"), F.array_sort(F.collect_list(F.struct((-F.col("of")).alias("age"), item))).alias("items"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import array_queries, box_queries, join_queries, pixel_queries, plan_queries, work_queries
+from . import array_queries, box_queries, file_queries, join_queries, pixel_queries, plan_queries, work_queries
 from .base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "array_queries", "box_queries", "flagship", "pixel_queries", "plan_queries", "work_queries"]
+__all__ = ["ORACLE", "QUERIES", "array_queries", "box_queries", "file_queries", "flagship", "pixel_queries", "plan_queries", "work_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,9 @@ def resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.resume(expected, table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item")))
 
 
+RESUMED = RESUME + """SELECT item, "left" FROM s WHERE "left" > 0"""
+
+
 @query("j9_resume_map_and_g4", RESUME + "SELECT * FROM s")
 def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resumed(spark, sf_dir)
