@@ -66,7 +66,7 @@ def memory_bank(df: DataFrame, by: str, step: str, item: str, steps: int = 3, mo
     steps * most items.
     """
     first = Window.partitionBy(by, step).orderBy(F.md5(F.concat(F.col(item).cast("string"), F.lit(":bank")).cast("binary")), item)
-    kept = df.select(by, step, item).withColumn("k", F.row_number().over(first)).where(F.col("k") <= most)
-    held = kept.select(by, F.col(step).alias("of"), item, F.explode(F.sequence(F.col(step), F.col(step) + steps - 1)).alias(step))
+    kept = df.select(by, step, item).withColumn("bank_place", F.row_number().over(first)).where(F.col("bank_place") <= most)
+    held = kept.select(by, F.col(step).alias("bank_of"), item, F.explode(F.sequence(F.col(step), F.col(step) + steps - 1)).alias(step))
     there = df.select(step).distinct()
-    return held.join(there, step).groupBy(by, step).agg(F.count(F.lit(1)).alias("n_held"), F.min("of").alias("oldest"), F.array_sort(F.collect_list(F.struct((-F.col("of")).alias("age"), item))).alias("items"))
+    return held.join(there, step).groupBy(by, step).agg(F.count(F.lit(1)).alias("n_held"), F.min("bank_of").alias("oldest"), F.array_sort(F.collect_list(F.struct((-F.col("bank_of")).alias("age"), item))).alias("items"))
