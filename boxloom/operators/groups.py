@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durable import durable
@@ -10,25 +10,29 @@ from ..functions.durable import durable
 SHAPE = ["len_text", "Width", "Height"]
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """at: each row's place from 0 among those of its keys in order; n_rows: how many there are.
+def ranked(df: DataFrame, keys: list[str], order: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+    """at: each row's place from 0 among those of its keys in order; n_rows: how many there are; of each column c of sums c_to, its sum up to the row, and c_all.
 
     Rows are sorted by range partitioning, which splits hot keys; a place is the rank in the partition plus the rows of the key in
     partitions before it. The sorted rows are checkpointed, as ranks and counts must come from one and the same division.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = durable(df.repartitionByRange(parts, *keys, *order).withColumn("part", F.spark_partition_id()))
-    own = placed.withColumn("rank", F.row_number().over(Window.partitionBy("part", *keys).orderBy(*order)))
-    sizes = placed.groupBy("part", *keys).agg(F.count(F.lit(1)).alias("n_part"))
+    here = Window.partitionBy("part", *keys).orderBy(*order)
+    run = here.rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumns({"rank": F.row_number().over(here), **{f"{c}_own": F.sum(c).over(run) for c in sums}})
+    sizes = placed.groupBy("part", *keys).agg(F.count(F.lit(1)).alias("n_part"), *(F.sum(c).alias(f"{c}_part") for c in sums))
     # a row for each partition and key
     w = Window.partitionBy(*keys)
-    before = F.coalesce(F.sum("n_part").over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("part", *keys, before.alias("before"), F.sum("n_part").over(w).alias("n_rows"))
+    before = lambda c: F.coalesce(F.sum(c).over(w.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = [x for c in sums for x in (before(f"{c}_part").alias(f"{c}_before"), F.sum(f"{c}_part").over(w).alias(f"{c}_all"))]
+    sizes = sizes.select("part", *keys, before("n_part").alias("before"), F.sum("n_part").over(w).alias("n_rows"), *totals)
     same = F.col("x.part") == F.col("y.part")
     for k in keys:
         same = same & F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}"))
     joined = own.alias("x").join(sizes.alias("y"), same)
-    return joined.select(*(F.col(f"x.{c}") for c in df.columns), (F.col("y.before") + F.col("x.rank") - 1).alias("at"), F.col("y.n_rows").alias("n_rows"))
+    summed = [x for c in sums for x in ((F.col(f"y.{c}_before") + F.col(f"x.{c}_own")).alias(f"{c}_to"), F.col(f"y.{c}_all"))]
+    return joined.select(*(F.col(f"x.{c}") for c in df.columns), (F.col("y.before") + F.col("x.rank") - 1).alias("at"), F.col("y.n_rows").alias("n_rows"), *summed)
 
 
 def array_split(df: DataFrame, order: list[str], shards: int) -> DataFrame:
@@ -46,9 +50,20 @@ def valid_groups(df: DataFrame, keys: list[str] = SHAPE, least: int = 4) -> Data
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    p = lambda q: F.percentile(column, F.lit(q)).alias(f"p{int(q * 100)}")
-    return df.agg(
-        F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("std"), F.min(column).alias("min"), p(0.25), p(0.5), p(0.75), F.max(column).alias("max")
+    """Count, mean, deviation, least, quartiles and greatest of a column without nulls; quartiles between two places in proportion.
+
+    The values are sorted by range, so no task holds them all.
+    """
+    r = ranked(df.select(column), [], [column])
+
+    def quartile(q: float) -> Column:
+        place = (F.col("n_rows") - 1) * F.lit(q)
+        low, high = F.max(F.when(F.col("at") == F.floor(place), F.col(column).cast("double"))), F.max(F.when(F.col("at") == F.ceil(place), F.col(column).cast("double")))
+        part = F.max(place - F.floor(place))
+        return (low + (high - low) * part).alias(f"p{int(q * 100)}")
+
+    return r.agg(
+        F.count(column).alias("n"), F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("std"), F.min(column).alias("min"), *map(quartile, (0.25, 0.5, 0.75)), F.max(column).alias("max")
     )
 
 

@@ -69,21 +69,17 @@ def overlap_losses(df: DataFrame, p: Column, y: Column, by: list[str] = [], a: f
 
 def lovasz(df: DataFrame, by: list[str], p: Column, y: Column, key: str) -> DataFrame:
     """Of each group: errors from large to small, weighted by how the Jaccard loss grows with each."""
-    e = df.select(*by, key, y.cast("double").alias("y"), F.abs(y - p).alias("e"))
-    w = Window.partitionBy(*by)
-    run = w.orderBy(F.desc("e"), key).rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumns({"n": F.sum("y").over(w), "cy": F.sum("y").over(run), "k": F.count(F.lit(1)).over(run)})
-    e = e.withColumn("jaccard", 1 - (F.col("n") - F.col("cy")) / (F.col("n") + F.col("k") - F.col("cy")))
-    e = e.withColumn("grad", F.col("jaccard") - F.coalesce(F.lag("jaccard").over(w.orderBy(F.desc("e"), key)), F.lit(0.0)))
-    return e.groupBy(*by).agg(F.round(F.sum(F.col("e") * F.col("grad")), 9).alias("lovasz"))
+    e = df.select(*by, key, y.cast("double").alias("y"), (-F.abs(y - p)).alias("e"))
+    r = ranked(e, by, ["e", key], ("y",))
+    jaccard = lambda found, k: 1 - (F.col("y_all") - found) / F.nullif(F.col("y_all") + k - found, F.lit(0.0))
+    before = F.coalesce(F.when(F.col("at") > 0, jaccard(F.col("y_to") - F.col("y"), F.col("at"))), F.lit(0.0))
+    return r.withColumn("grad", jaccard(F.col("y_to"), F.col("at") + 1) - before).groupBy(*by).agg(F.round(F.sum(-F.col("e") * F.col("grad")), 9).alias("lovasz"))
 
 
 def hard_mean(df: DataFrame, by: list[str], p: Column, y: Column, key: str, threshold: float = 0.7, least: int = 20) -> DataFrame:
     """Mean cross entropy of the hard examples: probability of the truth up to the larger of threshold and the least-th smallest one."""
-    q = df.select(*by, key, F.when(y == 1, p).otherwise(1 - p).alias("q"))
-    w = Window.partitionBy(*by)
-    q = q.withColumns({"k": F.row_number().over(w.orderBy("q", key)), "n": F.count(F.lit(1)).over(w)})
-    at = q.where(F.col("k") == F.least(F.lit(least + 1), "n")).select(*by, F.greatest("q", F.lit(threshold)).alias("bound"))
+    q = ranked(df.select(*by, key, F.when(y == 1, p).otherwise(1 - p).alias("q")), by, ["q", key])
+    at = q.where(F.col("at") == F.least(F.lit(least), F.col("n_rows") - 1)).select(*by, F.greatest("q", F.lit(threshold)).alias("bound"))
     kept = q.join(at, by).where("q <= bound")
     return kept.groupBy(*by).agg(F.count(F.lit(1)).alias("n_hard"), F.round(F.avg(-F.log(F.greatest("q", F.lit(1e-12)))), 9).alias("loss"))
 

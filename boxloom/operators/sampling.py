@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
+from .groups import ranked
 
 
 def sample(df: DataFrame, groups: list[str], key: str, n: int, salt: str = "sample") -> DataFrame:
@@ -16,12 +17,11 @@ def sample(df: DataFrame, groups: list[str], key: str, n: int, salt: str = "samp
 
 def fill(df: DataFrame, groups: list[str], key: str, n: int) -> DataFrame:
     """Each group's rows in order of key, and rows drawn with replacement until there are n; place from 0."""
-    w = Window.partitionBy(*groups)
-    ranked = df.withColumn("at", F.row_number().over(w.orderBy(key)) - 1).withColumn("have", F.count(F.lit(1)).over(w).cast("int"))
-    group = ranked.select(*groups, "have").distinct().withColumn("place", F.explode(F.sequence(F.lit(0), F.greatest(F.col("have"), F.lit(n)) - 1)))
+    placed = ranked(df, groups, [key]).withColumn("have", F.col("n_rows").cast("int")).drop("n_rows")
+    group = placed.groupBy(*groups).agg(F.max("have").alias("have")).withColumn("place", F.explode(F.sequence(F.lit(0), F.greatest(F.col("have"), F.lit(n)) - 1)))
     name = F.concat_ws(":", *(F.col(g).cast("string") for g in groups), F.col("place").cast("string"))
     group = group.withColumn("at", F.when(F.col("place") < F.col("have"), F.col("place")).otherwise(F.floor(uniform(name, "fill") * F.col("have")).cast("int")))
-    return group.join(ranked.drop("have"), [*groups, "at"]).drop("at", "have")
+    return group.join(placed.drop("have"), [*groups, "at"]).drop("at", "have")
 
 
 def upsample(df: DataFrame, key: str, factor: str) -> DataFrame:

@@ -191,7 +191,7 @@ pairs AS (SELECT q.vec_id, c.vec_id AS candidate, c.label, list_dot_product(q.a,
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stated queries, whose id is divisible by 50, against all vectors."""
     h = candidates.halves(table(spark, sf_dir, "embeddings"))
-    pairs = F.broadcast(h.where("vec_id % 50 = 0")).alias("q").join(h.alias("c"), F.col("q.vec_id") != F.col("c.vec_id"))
+    pairs = candidates.against_all(h.where("vec_id % 50 = 0"), h, "vec_id")
     return pairs.select("q.vec_id", F.col("c.vec_id").alias("candidate"), F.col("c.label").alias("label"), candidates.similarity("q", "c").alias("score"), candidates.similarity("q", "c", F.lit(True)).alias("blank_score"))
 
 

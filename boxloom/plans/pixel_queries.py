@@ -179,7 +179,7 @@ s AS (SELECT q.vec_id, q.label AS label, c.vec_id AS other, c.label AS other_lab
 def similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors, whose id is divisible by 50, against all vectors; cosine by a temperature of 0.1."""
     u = table(spark, sf_dir, "embeddings").select("vec_id", "label", candidates.unit(F.col("embedding")).alias("u"))
-    pairs = F.broadcast(u.where("vec_id % 50 = 0")).alias("q").join(u.alias("c"), F.col("q.vec_id") != F.col("c.vec_id"))
+    pairs = candidates.against_all(u.where("vec_id % 50 = 0"), u, "vec_id")
     return pairs.select("q.vec_id", "q.label", F.col("c.vec_id").alias("other"), F.col("c.label").alias("other_label"), (candidates.dot(F.col("q.u"), F.col("c.u")) / 0.1).alias("s"))
 
 

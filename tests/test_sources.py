@@ -97,3 +97,27 @@ def test_memory_bank(spark):
         n = {t: min(4, t if k == "a" else 5 * (t == 1)) for t in range(s - 2, s + 1) if t > 0}
         held = {t: v for t, v in n.items() if v}
         assert got.get((k, s)) == ((sum(held.values()), min(held), sum(held.values())) if held else None), (k, s)
+
+
+@pytest.mark.parametrize("block", [2000, 3])
+def test_query_sets_in_blocks(spark, monkeypatch, block):
+    from boxloom.operators import candidates
+
+    monkeypatch.setattr(candidates, "BLOCK_QUERIES", block)
+    d = spark.range(40).toDF("id")
+    got = candidates.against_all(d.where("id % 4 = 0"), d, "id").select("q.id", F.col("c.id").alias("other")).collect()
+    assert sorted(map(tuple, got)) == [(q, c) for q in range(0, 40, 4) for c in range(40) if c != q]
+
+
+def test_nearest_boxes_of_lonely_ones(spark):
+    from boxloom.operators import geometry
+
+    rows = [("a", i, x, x + 10, y, y + 5, 10, 5) for i, (x, y) in enumerate([(0, 0), (3, 1), (900, 0), (5000, 4000), (-700, 20), (3, 1)])] + [("a", 90, 0, 11, 0, 5, 11, 5), ("b", 0, 0, 10, 0, 5, 10, 5), ("b", 1, 40000, 40010, 0, 5, 10, 5)]
+    d = spark.createDataFrame(rows, "filename string, box_id int, W_d int, W_g int, H_b int, H_h int, Width int, Height int")
+    got = {(r.filename, r.box_id): (r.nearest, r.distance) for r in geometry.nearest_same_size(d).collect()}
+    want = {}
+    for f, i, x1, x2, y1, y2, w, h in rows:
+        found = [((x1 + x2 - a - b) ** 2 + (y1 + y2 - c - e) ** 2, j) for g, j, a, b, c, e, v, k in rows if (g, v, k) == (f, w, h) and j != i]
+        if found:
+            want[f, i] = min(found)[::-1]
+    assert got == want and geometry.nearest_same_size(d.limit(0)).count() == 0
