@@ -95,6 +95,34 @@ def cut_report(pixels: pd.Series, width: pd.Series, left: pd.Series, right: pd.S
     return pd.DataFrame(rows, columns=["cut_alone", "cut"])
 
 
+def filled(a: np.ndarray, mask: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """The masked pixels filled from around by diffusion: from the mean of all others, in each round, to the mean of their up to four neighbours."""
+    if mask.all() or not mask.any():
+        return a.astype(float)
+    out = np.where(mask, a[~mask].mean(), a.astype(float))
+
+    def around(x: np.ndarray) -> np.ndarray:
+        p = np.pad(x, 1)
+        return sum(p[1 + dy : 1 + dy + a.shape[0], 1 + dx : 1 + dx + a.shape[1]] for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1)))
+
+    n = around(np.ones(a.shape))
+    for _ in range(rounds):
+        out = np.where(mask, around(out) / n, out)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def filled_in(pixels: pd.Series, width: pd.Series, left: pd.Series, right: pd.Series, top: pd.Series, bottom: pd.Series, rounds: pd.Series) -> pd.Series:
+    """filled, of a rectangle of each raster."""
+    out = []
+    for p, w, x1, x2, y1, y2, n in zip(pixels, width, left, right, top, bottom, rounds):
+        a = np.asarray(p, float).reshape(-1, w)
+        mask = np.zeros(a.shape, bool)
+        mask[y1:y2, x1:x2] = True
+        out.append(filled(a, mask, n).ravel().tolist())
+    return pd.Series(out)
+
+
 def levels(embedding: Column) -> Column:
     """64 numbers as levels 0 to 255."""
     return F.transform(embedding, lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(x.cast("double") * 64 + 128).cast("int"))))

@@ -264,6 +264,22 @@ def r5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("vec_id", raster.cut_report("b", F.lit(8), "x", F.col("x") + 5, "y", F.col("y") + 4).alias("r")).select("vec_id", "r.*")
 
 
+FILL = PIXELS.replace("WITH", "WITH RECURSIVE", 1) + """
+, m AS (SELECT vec_id, x, y, CAST(v AS DOUBLE) AS v, x BETWEEN 2 AND 5 AND y BETWEEN 3 AND 5 AS hole FROM p),
+f AS (SELECT m.vec_id, x, y, hole, CASE WHEN hole THEN mean ELSE v END AS v, 0 AS i FROM m JOIN (SELECT vec_id, avg(v) AS mean FROM m WHERE NOT hole GROUP BY 1) USING (vec_id)
+  UNION ALL SELECT a.vec_id, a.x, a.y, a.hole, CASE WHEN a.hole THEN avg(b.v) ELSE any_value(a.v) END, a.i + 1 FROM f a JOIN f b ON a.vec_id = b.vec_id AND abs(a.x - b.x) + abs(a.y - b.y) = 1 WHERE a.i < 20 GROUP BY a.vec_id, a.x, a.y, a.hole, a.i)
+SELECT vec_id, CAST(y * 8 + x AS INT) AS place, round(v, 6) AS v FROM f WHERE i = 20 AND hole
+"""
+
+
+@query("r9_fill_a_hole", FILL)
+def r9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hole of 4 x 3 in rasters of 8 x 8, filled in 20 rounds."""
+    filled = raster.filled_in("b", F.lit(8), F.lit(2), F.lit(6), F.lit(3), F.lit(6), F.lit(20))
+    p = blocks(spark, sf_dir).select("vec_id", F.posexplode(filled).alias("place", "v"))
+    return p.where("place % 8 BETWEEN 2 AND 5 AND place div 8 BETWEEN 3 AND 5").withColumn("v", F.round("v", 6))
+
+
 WEIGHTS = tuple((i * 7 % 13 - 6) / 10 for i in range(64))
 
 

@@ -121,3 +121,15 @@ def test_nearest_boxes_of_lonely_ones(spark):
         if found:
             want[f, i] = min(found)[::-1]
     assert got == want and geometry.nearest_same_size(d.limit(0)).count() == 0
+
+
+def test_filling():
+    """Diffusion fills a hole in a plane exactly; without a hole, or with nothing else, nothing changes."""
+    a = np.add.outer(3.0 * np.arange(9), 2.0 * np.arange(7))
+    hole = np.zeros(a.shape, bool)
+    hole[3:6, 2:5] = True
+    assert np.abs(raster.filled(np.where(hole, 0, a), hole, 2000) - a).max() < 1e-6
+    assert (raster.filled(a, np.zeros(a.shape, bool)) == a).all() and (raster.filled(a, np.ones(a.shape, bool)) == a).all()
+    corner = np.zeros(a.shape, bool)
+    corner[0, 0] = True
+    assert abs(raster.filled(a, corner, 5)[0, 0] - (a[0, 1] + a[1, 0]) / 2) < 1e-9
