@@ -133,3 +133,16 @@ def test_filling():
     corner = np.zeros(a.shape, bool)
     corner[0, 0] = True
     assert abs(raster.filled(a, corner, 5)[0, 0] - (a[0, 1] + a[1, 0]) / 2) < 1e-9
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from boxloom.functions.durable import shared_folder
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master=master, setCheckpointDir=lambda _: None))
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_folder(session(master, None))
+        assert shared_folder(session(master, "s3://shared")) == "s3://shared"
+    assert shared_folder(session("local[4]", None))
