@@ -24,23 +24,29 @@ def words(text: Column) -> Column:
 
 
 def repeat_words(w: Column, n: Column) -> Column:
-    """Words in 3-word windows that occur twice or more: windows sorted with their places, equal neighbours, covered places."""
+    """Words in 3-word windows that occur twice or more: windows sorted with their places, equal neighbours, covered places.
+
+    Windows are sorted by a hash, since longs compare fast; in a text where neighbours of equal hash aren't equal words, by their words.
+    """
     three = lambda i: F.struct(w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"))
-    # in order of a hash, since longs compare fast, then of the words, which decide
-    grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("g"), three(i).alias("t"), i.alias("i")))
+    grams = lambda g: F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(g(i).alias("g"), i.alias("i")))
+    hashed, exact = grams(lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])), grams(three)
+
+    def again(s: Column) -> Column:
+        """Windows with an equal neighbour, still in order."""
+        return F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["g"] == x["g"])) | F.coalesce(F.get(s, k + 1)["g"] == x["g"], F.lit(False)))
 
     def covered(s: Column) -> Column:
-        same = lambda x, y: F.coalesce((x["g"] == y["g"]) & (x["t"] == y["t"]), F.lit(False))
-        again = F.filter(
-            F.transform(s, lambda x, k: F.when(((k > 0) & same(F.get(s, k - 1), x)) | same(F.get(s, k + 1), x), x["i"])),
-            lambda i: i.isNotNull(),
-        )
         start = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-        return F.aggregate(
-            F.sort_array(again), start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"]
-        )
+        places = F.sort_array(F.transform(s, lambda x: x["i"]))
+        return F.aggregate(places, start, lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n")), lambda a: a["n"])
+
+    def clash(s: Column) -> Column:
+        differ = lambda x, y: F.when(x["g"] == y["g"], three(x["i"]) != three(y["i"])).otherwise(False)
+        return F.exists(F.transform(s, lambda x, k: (k > 0) & differ(F.get(s, k - 1), x)), lambda x: F.coalesce(x, F.lit(False)))
 
-    return F.when(n < 3, F.lit(0)).otherwise(let(F.sort_array(grams), covered))
+    found = lambda g: let(F.sort_array(g), again)
+    return F.when(n < 3, F.lit(0)).otherwise(let(found(hashed), lambda s: F.when(clash(s), covered(found(exact))).otherwise(covered(s))))
 
 
 def dup_lines(text: Column) -> Column:
@@ -49,22 +55,27 @@ def dup_lines(text: Column) -> Column:
     return let(lines, lambda a: F.size(a) - F.size(F.array_distinct(a)))
 
 
-def features(docs: DataFrame, text: str = "text", prefix: str = "q_", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns keep) with the base counts and base_failed of each row's whole text."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def features(docs: DataFrame, text: str = "text", prefix: str = "q_", keep: list[str] | None = None, counts: bool = True) -> DataFrame:
+    """docs (or its columns keep) with the base counts (unless counts is false) and base_failed of each row's whole text."""
     t = F.col(text)
     carried = docs.columns if keep is None else keep
     w = docs.select(*carried, words(t).alias(f"{prefix}w"), *([] if text in carried else [text]))
     n = F.size(f"{prefix}w")
-    out = w.select(
-        *carried,
-        n.cast("long").alias(f"{prefix}n_words"),
-        F.length(F.regexp_replace(F.coalesce(t, F.lit("")), WORD_GAP, "")).cast("long").alias(f"{prefix}word_chars"),
-        F.length(F.regexp_replace(F.coalesce(t, F.lit("")), r"[^#*$%&|<>]+", "")).cast("long").alias(f"{prefix}n_symbols"),
-        dup_lines(t).cast("long").alias(f"{prefix}n_dup_lines"),
-        repeat_words(F.col(f"{prefix}w"), n).cast("long").alias(f"{prefix}n_repeat_words"),
-    )
+    made = {"n_words": n, "n_repeat_words": repeat_words(F.col(f"{prefix}w"), n)}
+    if counts:
+        made |= {
+            "word_chars": F.length(F.regexp_replace(F.coalesce(t, F.lit("")), WORD_GAP, "")),
+            "n_symbols": F.length(F.regexp_replace(F.coalesce(t, F.lit("")), r"[^#*$%&|<>]+", "")),
+            "n_dup_lines": dup_lines(t),
+        }
+    # a generator: predicates are not pushed through it, which would split the text anew for each word
+    out = w.select(*carried, F.inline(F.array(F.struct(*(made[x].cast("long").alias(f"{prefix}{x}") for x in COUNTS if x in made)))))
     c = lambda x: F.col(f"{prefix}{x}")
-    return out.withColumn(f"{prefix}base_failed", (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words")))
+    out = out.withColumn(f"{prefix}base_failed", (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words")))
+    return out if counts else out.select(*carried, f"{prefix}base_failed")
 
 
 def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
@@ -93,30 +104,33 @@ def overdispersion(mean: float, hosts: int, n: int, squares: int, between: float
 
 
 def judge(
-    docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_RATE, prefix: str = "q_", keep: list[str] | None = None
+    docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_RATE, prefix: str = "q_", keep: list[str] | None = None, counts: bool = True
 ) -> DataFrame:
-    """docs (or its columns keep) with base counts, base_failed, the host's shrunk failure rate and kept.
+    """docs (or its columns keep) with base counts (unless counts is false), base_failed, the host's verdict and kept.
 
     kept: the document doesn't fail the base rules and its host's shrunk rate is at most max_rate. Null and empty texts have no
     words and fail; a null host is a host of its own; repeated rows count each; an empty table gives an empty one. A column
     called like a new one is an error; a very long text is one row, so its counts are made in one task.
 
-    The rates need every row's base_failed. Where texts aren't carried the counts are computed once and checkpointed; where they are, they are
-    computed twice instead of writing whole texts.
+    The rates need every row's base_failed. Where texts aren't carried the counts are computed once and checkpointed; where they are,
+    base_failed is computed twice instead of writing whole texts.
     """
     carried = docs.columns if keep is None else keep
     if clash := [c for c in carried if c.lower().startswith(prefix.lower())]:
         raise ValueError(f"columns {clash} are there already: choose another prefix")
-    judged = features(docs, text, prefix, list(dict.fromkeys([*carried, host])))
-    judged = judged if text in carried else durable(judged)
-    bad = host_rates(judged, host, f"{prefix}base_failed").where(F.col("rate") > max_rate).select(F.col("host").alias(f"{prefix}host"))
+    judged = features(docs, text, prefix, list(dict.fromkeys([*carried, host])), counts)
+    if text in carried:
+        seen = features(docs, text, prefix, [host], False)
+    else:
+        judged = seen = durable(judged)
+    bad = host_rates(seen, host, f"{prefix}base_failed").where(F.col("rate") > max_rate).select(F.col("host").alias(f"{prefix}host"))
     if bad.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
     out = judged.join(bad.withColumn(f"{prefix}host_failed", F.lit(True)), F.col(host).eqNullSafe(F.col(f"{prefix}host")), "left")
     host_failed = F.coalesce(f"{prefix}host_failed", F.lit(False))
     return out.select(
         *carried,
-        *(f"{prefix}{x}" for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")),
+        *(f"{prefix}{x}" for x in (*COUNTS, "base_failed") if counts or x == "base_failed"),
         host_failed.alias(f"{prefix}host_failed"),
         (~F.col(f"{prefix}base_failed") & ~host_failed).alias(f"{prefix}kept"),
     )
