@@ -24,7 +24,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and their host's verdict keep. A null source is a host of its own."""
-    verdict = quality.judge(docs.select(*COLUMNS), keep=COLUMNS)
+    verdict = quality.judge(docs.select(*COLUMNS), keep=COLUMNS, counts=False)
     return verdict.where("q_kept").select(*COLUMNS)
 
 
