@@ -42,6 +42,21 @@ def parse_char_boxes(df: DataFrame, line: str = "line", height: str = "height")
     }).drop("x1", "y1", "x2", "y2").where("trim(text) <> '' AND W_g > W_d AND H_h > H_b")
 
 
+#: Fields of a row of an OCR engine's word table, tab-separated.
+WORD_ROW = ("level", "page_num", "block_num", "par_num", "line_num", "word_num", "left", "top", "width", "height", "conf", "text")
+
+
+def parse_word_rows(df: DataFrame, line: str = "line") -> DataFrame:
+    """Words of tab-separated rows, corner at the top left: text without outer space and box, cut at 0; rows without text, extent or whole numbers are dropped."""
+    field = lambda name: F.get(F.split(line, "\t"), F.lit(WORD_ROW.index(name)))
+    number = lambda name: field(name).try_cast("int")
+    rows = df.withColumns({"text": F.regexp_replace(field("text"), r"^\s+|\s+$", ""), "x": number("left"), "y": number("top"), "w": number("width"), "h": number("height")})
+    some = rows.where("text <> '' AND x IS NOT NULL AND y IS NOT NULL AND w > 0 AND h > 0")
+    edge = lambda v: F.greatest(F.lit(0), v)
+    sides = {"W_d": edge(F.col("x")), "W_g": edge(F.col("x") + F.col("w")), "H_b": edge(F.col("y")), "H_h": edge(F.col("y") + F.col("h"))}
+    return some.withColumns(sides).drop("x", "y", "w", "h")
+
+
 def positive(df: DataFrame) -> DataFrame:
     return df.where("H_b < H_h AND W_d < W_g")
 

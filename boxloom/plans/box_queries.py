@@ -43,6 +43,17 @@ def char_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.parse_char_boxes(boxes(spark, sf_dir).select("filename", "box_id", broken.alias("line"), F.col("page_h").alias("height"))).select("filename", "box_id", "text", "W_d", "W_g", "H_b", "H_h")
 
 
+@query("a24_word_rows_c2", LAYOUT + """
+SELECT filename, box_id, text, greatest(0, W_d - 4) AS W_d, W_g - 4 AS W_g, H_b, H_h FROM boxes WHERE box_id % 7 <> 0""")
+def word_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a word table, four pixels to the left of the boxes; every seventh one is blank, flat or broken and dropped."""
+    c = lambda x: F.col(x).cast("string")
+    row = lambda width, text: F.concat_ws("\t", F.lit("5\t1\t1\t1\t1\t1"), (F.col("W_d") - 4).cast("string"), c("H_b"), width, c("Height"), F.lit("96.1"), text)
+    broken = F.when(F.col("box_id") % 3 == 0, row(c("Width"), F.lit("  "))).when(F.col("box_id") % 3 == 1, row(F.lit("0"), F.col("text"))).otherwise(row(F.lit("x"), F.col("text")))
+    line = F.when(F.col("box_id") % 7 == 0, broken).otherwise(row(c("Width"), F.concat(F.lit(" "), "text", F.lit(" "))))
+    return ops.parse_word_rows(boxes(spark, sf_dir).select("filename", "box_id", line.alias("line"))).select("filename", "box_id", "text", "W_d", "W_g", "H_b", "H_h")
+
+
 @query("b4_pad", LAYOUT + "SELECT filename, box_id, greatest(0, W_d - 3) AS W_d, least(page_w, W_g + 3) AS W_g, greatest(0, H_b - 3) AS H_b, least(page_h, H_h + 3) AS H_h FROM boxes")
 def pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.pad(boxes(spark, sf_dir), 3).select(*GEOMETRY)
