@@ -58,24 +58,36 @@ def dup_lines(text: Column) -> Column:
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def features(docs: DataFrame, text: str = "text", prefix: str = "q_", keep: list[str] | None = None, counts: bool = True) -> DataFrame:
-    """docs (or its columns keep) with the base counts (unless counts is false) and base_failed of each row's whole text."""
+def features(docs: DataFrame, text: str = "text", prefix: str = "q_", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns keep) with the base counts and base_failed of each row's whole text."""
     t = F.col(text)
     carried = docs.columns if keep is None else keep
     w = docs.select(*carried, words(t).alias(f"{prefix}w"), *([] if text in carried else [text]))
     n = F.size(f"{prefix}w")
-    made = {"n_words": n, "n_repeat_words": repeat_words(F.col(f"{prefix}w"), n)}
-    if counts:
-        made |= {
-            "word_chars": F.length(F.regexp_replace(F.coalesce(t, F.lit("")), WORD_GAP, "")),
-            "n_symbols": F.length(F.regexp_replace(F.coalesce(t, F.lit("")), r"[^#*$%&|<>]+", "")),
-            "n_dup_lines": dup_lines(t),
-        }
+    made = {
+        "n_words": n,
+        "word_chars": F.length(F.regexp_replace(F.coalesce(t, F.lit("")), WORD_GAP, "")),
+        "n_symbols": F.length(F.regexp_replace(F.coalesce(t, F.lit("")), r"[^#*$%&|<>]+", "")),
+        "n_dup_lines": dup_lines(t),
+        "n_repeat_words": repeat_words(F.col(f"{prefix}w"), n),
+    }
     # a generator: predicates are not pushed through it, which would split the text anew for each word
-    out = w.select(*carried, F.inline(F.array(F.struct(*(made[x].cast("long").alias(f"{prefix}{x}") for x in COUNTS if x in made)))))
+    out = w.select(*carried, F.inline(F.array(F.struct(*(made[x].cast("long").alias(f"{prefix}{x}") for x in COUNTS)))))
     c = lambda x: F.col(f"{prefix}{x}")
-    out = out.withColumn(f"{prefix}base_failed", (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words")))
-    return out if counts else out.select(*carried, f"{prefix}base_failed")
+    return out.withColumn(f"{prefix}base_failed", (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words")))
+
+
+def failed_only(docs: DataFrame, text: str, prefix: str, carried: list[str]) -> DataFrame:
+    """docs' columns carried with base_failed alone.
+
+    Of windows beyond the first of each kind there are as many as windows in all less kinds; those that occur twice or more are at most twice, and
+    the words in them at most six times as many. Only a text for which that isn't too few is looked at closely.
+    """
+    w = docs.select(*carried, words(F.col(text)).alias(f"{prefix}w"))
+    n, a = F.size(f"{prefix}w"), F.col(f"{prefix}w")
+    spare = let(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(a[i], a[i + 1], a[i + 2])), lambda h: F.size(h) - F.size(F.array_distinct(h)))
+    failed = F.when(n < 50, True).when(12 * spare <= n, False).otherwise(100 * repeat_words(a, n) > 50 * n)
+    return w.select(*carried, F.inline(F.array(F.struct(failed.alias(f"{prefix}base_failed")))))
 
 
 def host_rates(judged: DataFrame, host: str, failed: str) -> DataFrame:
@@ -118,9 +130,10 @@ def judge(
     carried = docs.columns if keep is None else keep
     if clash := [c for c in carried if c.lower().startswith(prefix.lower())]:
         raise ValueError(f"columns {clash} are there already: choose another prefix")
-    judged = features(docs, text, prefix, list(dict.fromkeys([*carried, host])), counts)
+    needed = list(dict.fromkeys([*carried, host]))
+    judged = features(docs, text, prefix, needed) if counts else failed_only(docs, text, prefix, needed)
     if text in carried:
-        seen = features(docs, text, prefix, [host], False)
+        seen = failed_only(docs, text, prefix, [host])
     else:
         judged = seen = durable(judged)
     bad = host_rates(seen, host, f"{prefix}base_failed").where(F.col("rate") > max_rate).select(F.col("host").alias(f"{prefix}host"))

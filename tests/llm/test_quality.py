@@ -65,3 +65,15 @@ def test_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
     assert got == sorted(con.execute(quality.ORACLE).fetchall())
+
+
+def test_verdicts_without_counts_are_the_same(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(rng.choice([3, 9, 40, 400]))]) for _ in range(rng.choice([2, 49, 50, 51, 120, 300]))) for _ in range(300)]
+    texts += [" ".join([f"x{i}" for i in range(k)] * 2 + [f"y{i}" for i in range(m)]) for k in (5, 20, 60) for m in (0, 10, 39, 40, 41, 200)]
+    d = cases.odd(cases.docs(spark, [*cases.ROWS, *((i + 100, t, "en", f"h{i % 7}", 1) for i, t in enumerate(texts))])).unionByName(cases.odd(spark.read.parquet(f"{SF}/documents.parquet")))
+    columns = ["doc_id", "text", "q_base_failed", "q_host_failed", "q_kept"]
+    got = quality.judge(d, counts=False)
+    want = quality.judge(d).select(*columns).collect()
+    assert sorted(map(repr, got.select(*columns).collect())) == sorted(map(repr, want)) and 50 < sum(r.q_base_failed for r in want) < len(want) - 50
+    assert "q_n_words" not in got.columns and quality.judge(d, keep=["doc_id"], counts=False).columns == ["doc_id", "q_base_failed", "q_host_failed", "q_kept"]
