@@ -16,9 +16,10 @@ DOUBLED = LAYOUT + """, d AS (SELECT filename, box_id, text, W_d, W_g, H_b, H_h
 
 
 def doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).select("filename", "box_id", "text", "W_d", "W_g", "H_b", "H_h")
-    moved = b.where("box_id % 13 = 0").withColumns({"box_id": F.col("box_id") + 1000000, **{c: F.col(c) + 1 for c in ("W_d", "W_g", "H_b", "H_h")}})
-    return b.unionByName(moved)
+    b = boxes(spark, sf_dir)
+    own = F.struct("filename", "box_id", "text", "W_d", "W_g", "H_b", "H_h")
+    moved = F.struct("filename", (F.col("box_id") + 1000000).alias("box_id"), "text", *((F.col(c) + 1).alias(c) for c in ("W_d", "W_g", "H_b", "H_h")))
+    return b.select(F.inline(F.array_compact(F.array(own, F.when(F.col("box_id") % 13 == 0, moved)))))
 
 
 INTERSECTION = "(greatest(0, least(a.W_g, b.W_g) - greatest(a.W_d, b.W_d)) * greatest(0, least(a.H_h, b.H_h) - greatest(a.H_b, b.H_b)))"
