@@ -32,10 +32,11 @@ def bounding_box(df: DataFrame, vertices: str = "vertices") -> DataFrame:
 
 def parse_char_boxes(df: DataFrame, line: str = "line", height: str = "height") -> DataFrame:
     """Text lines "char x1 y1 x2 y2 page" with the origin at the bottom left; lines of fewer fields or without whole numbers are dropped."""
-    parts = F.split(line, " ")
-    n = lambda i: F.expr(f"try_cast(get(split({line}, ' '), {i}) as int)")
-    out = df.withColumns({"text": parts[0], "x1": n(1), "y1": n(2), "x2": n(3), "y2": n(4)}).where(F.size(parts) >= 5)
-    out = out.dropna(subset=["x1", "y1", "x2", "y2"])
+    whole = lambda p, i: F.get(p, F.lit(i)).try_cast("int")
+    # a generator, which no filter is pushed through: a line is split once, not once for each use of a field
+    fields = F.transform(F.array(F.split(line, " ")), lambda p: F.when(F.size(p) >= 5, F.struct(p[0].alias("text"), *(whole(p, i).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"), 1)))))
+    kept = [c for c in df.columns if c not in ("text", "x1", "y1", "x2", "y2")]
+    out = df.select(*kept, F.inline(fields)).dropna(subset=["x1", "y1", "x2", "y2"])
     return out.withColumns({
         "W_d": F.greatest(F.lit(0), "x1"), "W_g": F.greatest(F.lit(0), "x2"),
         "H_b": F.greatest(F.lit(0), F.col(height) - F.col("y2")), "H_h": F.greatest(F.lit(0), F.col(height) - F.col("y1")),
