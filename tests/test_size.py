@@ -1,5 +1,6 @@
 """What keeps queries within disk and time on larger tables, and odd rows of it."""
 
+from boxloom.functions import durable
 from boxloom.operators import boxes
 from pyspark.sql import functions as F
 
@@ -11,3 +12,19 @@ def test_character_lines_are_split_once(spark):
     assert sorted(tuple(r) for r in found.select("text", "W_d", "W_g", "H_b", "H_h").collect()) == [("a", 1, 3, 6, 8), ("b", 0, 3, 6, 8)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_rounds_take_every_row_once(spark):
+    """Equal and null keys in one round; an empty round and an empty table are none the worse for it."""
+    rows = [(None, "aa"), (None, None), *((k % 5, "word " * k) for k in range(20))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    calls = []
+
+    def body(part):
+        calls.append(part.count())
+        return part.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+    found = durable.in_rounds(d, "doc_id", "text", body, most=8, chars=50)
+    assert sorted(found.collect(), key=str) == sorted(d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect(), key=str)
+    assert len(calls) == 8 and sum(calls) == 22 and 0 in calls
+    assert durable.in_rounds(d.limit(0), "doc_id", "text", body).count() == 0
