@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
-from ..functions.durable import durable, remove, shared_folder
+from ..functions.durable import create, durable, in_rounds, remove, shared_folder
 from ..operators import frequency, groups, planning, raster, workflow
 from ..sources import files, rasters
-from ..sources.bridges import LAYOUT, boxes, table
+from ..sources.bridges import LAYOUT, boxes, layout, table
 from .base import query
 from .box_queries import U
 from .work_queries import RESUMED, resumed
@@ -81,9 +81,16 @@ def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a8_a9_ocr_json", LAYOUT + "SELECT filename, count(*) AS n, md5(string_agg(text, ' ' ORDER BY box_id)) AS texts, CAST(sum(W_g) AS BIGINT) AS sum_right, CAST(sum(H_b) AS BIGINT) AS sum_top FROM boxes GROUP BY filename")
 def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON file of entries for each document, read again."""
+    """A JSON file of entries for each document, read again, in rounds, each of which removes its files."""
+    return in_rounds(table(spark, sf_dir, "documents"), "doc_id", "text", entry_files)
+
+
+def entry_files(documents: DataFrame) -> DataFrame:
+    """Of some documents, with all boxes of each."""
+    spark = documents.sparkSession
     with Folder(spark) as root:
-        files.write_entries(boxes(spark, sf_dir), root)
+        create(spark, root)
+        files.write_entries(layout(documents), root)
         e = files.ocr_entries(spark, root).withColumn("filename", F.regexp_extract("filename", r"([^/]+)\.json$", 1))
         texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), " ")
         return durable(e.groupBy("filename").agg(F.count(F.lit(1)).alias("n"), F.md5(texts.cast("binary")).alias("texts"), F.sum("W_g").cast("long").alias("sum_right"), F.sum("H_b").cast("long").alias("sum_top")))
