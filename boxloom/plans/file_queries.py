@@ -65,11 +65,18 @@ def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(d.doc_id AS VARCHAR) AS filename, d.doc_id % 10 = 0 AS bad, CASE WHEN d.doc_id % 10 <> 0 THEN n ELSE 0 END AS n, CASE WHEN d.doc_id % 10 <> 0 THEN sum_left END AS sum_left, CASE WHEN d.doc_id % 10 <> 0 THEN ratios END AS ratios,
   CASE WHEN d.doc_id % 10 <> 0 THEN last_text END AS last_text, CASE WHEN d.doc_id % 10 <> 0 THEN fg END AS fg FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g ON g.filename = CAST(d.doc_id AS VARCHAR) WHERE d.doc_id % 10 = 0 OR n > 0""")
 def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A CSV file for each document's boxes, where every tenth document has a file already, which is no box table: it stays and gives no rows."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("filename")).distinct()
+    """A CSV file for each document's boxes, where every tenth document has a file already, which is no box table: it stays and gives no rows. In rounds, each of which removes its files."""
+    return in_rounds(table(spark, sf_dir, "documents"), "doc_id", "text", box_files)
+
+
+def box_files(documents: DataFrame) -> DataFrame:
+    """Of some documents, with all boxes of each."""
+    spark = documents.sparkSession
+    docs = documents.select(F.col("doc_id").cast("string").alias("filename")).distinct()
     with Folder(spark) as root:
+        create(spark, root)
         rasters.write_files(docs.where("filename % 10 = 0").select(F.concat("filename", F.lit(".csv")).alias("path"), F.lit("no,box\n1,2\n").alias("content")), root)
-        files.write_box_files(boxes(spark, sf_dir), root)
+        files.write_box_files(layout(documents), root)
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
             read, bad = files.read_box_files(spark, root)
