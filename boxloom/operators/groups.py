@@ -10,7 +10,7 @@ from ..functions.durable import durable
 SHAPE = ["len_text", "Width", "Height"]
 
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], sums: tuple[str, ...] = ()) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list[str | Column], sums: tuple[str, ...] = ()) -> DataFrame:
     """at: each row's place from 0 among those of its keys in order; n_rows: how many there are; of each column c of sums c_to, its sum up to the row, and c_all.
 
     Rows are sorted by range partitioning, which splits hot keys; a place is the rank in the partition plus the rows of the key in
@@ -71,3 +71,18 @@ def chunks(df: DataFrame, keys: list[str], order: list[str], size: int = 2000) -
     """chunk from 0 of each group's rows in order; the last two chunks of a group are one."""
     last = F.greatest(F.ceil(F.col("n_rows") / size) - 2, F.lit(0))
     return ranked(df, keys, order).withColumn("chunk", F.least(F.floor(F.col("at") / size), last).cast("int")).drop("at", "n_rows")
+
+
+def chunk_ends(counted: DataFrame, keys: list[str], item: str, size: int = 2000) -> DataFrame:
+    """Of each chunk that chunks makes of rows in order of item: n, its first and last item. counted: n rows of each of keys and item, nulls last.
+
+    A row of counted stands for n neighbours, so its places are those from the sum before it to its own.
+    """
+    r = ranked(counted.withColumnRenamed("n", "held"), keys, [F.col(item).asc_nulls_last()], ("held",))
+    last = F.greatest(F.ceil(F.col("held_all") / size) - 2, F.lit(0))
+    at = lambda place: F.least(F.floor(place / size), last)
+    r = r.withColumn("start", F.col("held_to") - F.col("held")).withColumn("last", last)
+    r = r.select(*keys, item, "start", "held_to", "last", F.explode(F.sequence(at(F.col("start")), at(F.col("held_to") - 1))).alias("chunk"))
+    end = F.when(F.col("chunk") < F.col("last"), F.least("held_to", (F.col("chunk") + 1) * size)).otherwise(F.col("held_to"))
+    r = r.withColumn("n", end - F.greatest("start", F.col("chunk") * size))
+    return r.groupBy(*keys, F.col("chunk").cast("int").alias("chunk")).agg(F.sum("n").alias("n"), F.min(item).alias("first"), F.max(item).alias("last"))

@@ -1,7 +1,8 @@
 """What keeps queries within disk and time on larger tables, and odd rows of it."""
 
 from boxloom.functions import durable
-from boxloom.operators import boxes
+from boxloom.operators import boxes, groups
+from boxloom.sources import bridges
 from pyspark.sql import functions as F
 
 
@@ -28,3 +29,18 @@ def test_rounds_take_every_row_once(spark):
     assert sorted(found.collect(), key=str) == sorted(d.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect(), key=str)
     assert len(calls) == 8 and sum(calls) == 22 and 0 in calls
     assert durable.in_rounds(d.limit(0), "doc_id", "text", body).count() == 0
+
+
+def test_chunks_come_from_counts(spark):
+    """a13: documents of one id, of none and without words; no box is laid out, and no row stands for a single word beyond the counting."""
+    rows = [(k % 7, " ".join("ab" if i % 3 else "c" for i in range(5 * k % 23))) for k in range(30)] + [(None, "ab ab c"), (8, None), (9, " \t")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (1, 4, 50, 1000):
+        found = groups.chunk_ends(bridges.word_lengths(d), ["len_text"], "filename", size)
+        got, want = {(r.len_text, r.chunk): (r.n, r["first"], r["last"]) for r in found.collect()}, {}
+        for length in (1, 2):
+            names = sorted((None if k is None else str(k) for k, t in rows for w in (t or "").split() if len(w) == length), key=lambda x: (x is None, x))
+            for at, name in enumerate(names):
+                want.setdefault((length, min(at // size, max(-(-len(names) // size) - 2, 0))), []).append(name)
+        assert got == {k: (len(v), min((x for x in v if x), default=None), max((x for x in v if x), default=None)) for k, v in want.items()}
+    assert "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
