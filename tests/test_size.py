@@ -1,7 +1,10 @@
 """What keeps queries within disk and time on larger tables, and odd rows of it."""
 
+import random
+
+import pytest
 from boxloom.functions import durable
-from boxloom.operators import boxes, groups
+from boxloom.operators import boxes, candidates, geometry, groups, pages
 from boxloom.sources import bridges
 from pyspark.sql import functions as F
 
@@ -44,3 +47,29 @@ def test_chunks_come_from_counts(spark):
                 want.setdefault((length, min(at // size, max(-(-len(names) // size) - 2, 0))), []).append(name)
         assert got == {k: (len(v), min((x for x in v if x), default=None), max((x for x in v if x), default=None)) for k, v in want.items()}
     assert "md5" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def odd_documents(spark):
+    """Documents of one id, of none, without words; long words over many cells, one word only, letters of more than a byte."""
+    rng = random.Random(4)
+    word = lambda: rng.choice("ab\u00e9") * rng.choice((1, 2, 3, 9, 9, 14)) + rng.choice("xyz")
+    rows = [(k // 2 if k < 8 else k, " ".join(word() for _ in range(rng.choice((1, 40, 300, 700))))) for k in range(14)]
+    rows += [(None, "aa bb cc dd"), (20, None), (21, " \n"), (22, "one " * 400), (23, "w" * 900 + " " + "v" * 900 + " v" * 40 + "z" * 5000), (24, "ab\u00a0c de\x00f " * 90)]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+
+
+@pytest.mark.parametrize("chars", [1, 1 << 20])
+def test_boxes_of_a_document_are_not_shuffled(spark, chars):
+    """j3 and j7: the rows of the operators on tables of boxes, by one exchange of whole texts."""
+    d = odd_documents(spark)
+    laid = bridges.layout(d)
+    for body, schema, want in (
+        (pages.copy_move, "filename string, box_id int, n_candidates long, first_candidate int", candidates.copy_move(laid)),
+        (pages.nearest_same_size, "filename string, box_id int, nearest int, distance long", geometry.nearest_same_size(laid)),
+    ):
+        found = pages.by_document(d, body, schema, chars=chars)
+        rows = lambda x: sorted(map(tuple, x.select(*found.columns).collect()))
+        assert rows(found) == rows(want) and found.count() > 1000
+        assert pages.by_document(d.limit(0), body, schema).count() == 0
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Generate" not in plan
