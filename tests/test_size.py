@@ -73,3 +73,21 @@ def test_boxes_of_a_document_are_not_shuffled(spark, chars):
         assert pages.by_document(d.limit(0), body, schema).count() == 0
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+@pytest.mark.parametrize("chunk", [3, 2000])
+def test_splicing_deals_out_packed_boxes(spark, chunk):
+    """j4 and w6: the rows of the operator on tables of boxes, of which none is shuffled as a row."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice(("a", "b", "é")) * rng.choice((1, 2, 25)) for _ in range(rng.choice((3, 60, 400))))) for k in range(40)] + [(None, "a b a b"), (50, None), (51, " ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    laid = bridges.layout(d)
+    want = candidates.splicing(candidates.budgeted(laid), laid, cap=4, widest=30, chunk=chunk)
+    for chars in (1, 1 << 20):
+        pairs = pages.splicing_pairs(d, widest=30, chunk=chunk, chars=chars)
+        found = candidates.within(pairs, 4, 30)
+        columns = ["filename", "box_id", "source", "source_box", "tau", "place", "d", "mean_d"]
+        rows = lambda x: sorted(map(tuple, x.select(*columns).collect()))
+        assert rows(found) == rows(want) and found.count() > 20
+        assert "Generate" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pages.splicing_pairs(d.limit(0)).count() == 0
