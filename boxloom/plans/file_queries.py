@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import uuid
-import warnings
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
 from ..functions.durable import create, durable, in_rounds, remove, shared_folder
-from ..operators import frequency, groups, planning, raster, workflow
-from ..sources import files, rasters
+from ..operators import frequency, groups, pages, planning, raster, workflow
+from ..sources import files, lots, rasters
 from ..sources.bridges import LAYOUT, boxes, layout, table
 from .base import query
 from .box_queries import U
@@ -65,25 +66,36 @@ def a1(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(d.doc_id AS VARCHAR) AS filename, d.doc_id % 10 = 0 AS bad, CASE WHEN d.doc_id % 10 <> 0 THEN n ELSE 0 END AS n, CASE WHEN d.doc_id % 10 <> 0 THEN sum_left END AS sum_left, CASE WHEN d.doc_id % 10 <> 0 THEN ratios END AS ratios,
   CASE WHEN d.doc_id % 10 <> 0 THEN last_text END AS last_text, CASE WHEN d.doc_id % 10 <> 0 THEN fg END AS fg FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN g ON g.filename = CAST(d.doc_id AS VARCHAR) WHERE d.doc_id % 10 = 0 OR n > 0""")
 def a4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A CSV file for each document's boxes, where every tenth document has a file already, which is no box table: it stays and gives no rows. In rounds, each of which removes its files."""
-    return in_rounds(table(spark, sf_dir, "documents"), "doc_id", "text", box_files)
+    """A CSV file for each document's boxes, where every tenth document has a file already, which is no box table: it stays and gives no rows.
 
-
-def box_files(documents: DataFrame) -> DataFrame:
-    """Of some documents, with all boxes of each."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("string").alias("filename")).distinct()
+    A lot of documents at a time: its files are written, then those of its folder are listed and read, and the folder goes.
+    """
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
     with Folder(spark) as root:
-        create(spark, root)
-        rasters.write_files(docs.where("filename % 10 = 0").select(F.concat("filename", F.lit(".csv")).alias("path"), F.lit("no,box\n1,2\n").alias("content")), root)
-        files.write_box_files(layout(documents), root)
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            read, bad = files.read_box_files(spark, root)
-        g = read.groupBy("filename").agg(F.count(F.lit(1)).alias("n"), F.sum("W_d").cast("long").alias("sum_left"), F.round(F.sum("ratio"), 2).alias("ratios"), F.max("text").alias("last_text"), F.sum(F.col("fg_color")[1]).cast("long").alias("fg"))
-        stem = lambda c: F.regexp_extract(c, r"([^/]+)\.csv$", 1)
-        there = files.csv_files(spark, root).select(F.col("stem").alias("filename")).join(bad.select(stem("file").alias("filename"), F.lit(True).alias("bad")), "filename", "left")
-        return durable(there.join(g, "filename", "left").select("filename", F.coalesce("bad", F.lit(False)).alias("bad"), F.coalesce("n", F.lit(0)).alias("n"), "sum_left", "ratios", "last_text", "fg"))
+        return durable(pages.in_lots(docs, box_files(root), BOX_FILES).withColumn("ratios", F.round("ratios", 2)))
+
+
+BOX_FILES = "filename string, bad boolean, n long, sum_left long, ratios double, last_text string, fg long"
+
+
+def box_files(root: str) -> Callable[[list[str], list[list[str]]], pa.RecordBatch]:
+    """Of some documents, whose files lie in a folder of their own below root, what the files read again hold."""
+
+    def run(names: list[str], texts: list[list[str]]) -> pa.RecordBatch:
+        with lots.Shelf(root) as shelf:
+            shelf.write((f"{lots.stem(f)}.csv", b"no,box\n1,2\n") for f in names if int(f) % 10 == 0)
+            shelf.write(lots.csv_files(names, *pages.with_words(texts)), overwrite=False)
+            stems, contents = shelf.read(".csv")
+        rows, _, bad = lots.read_csv_files(contents)
+        sums = [("text", "count", pc.CountOptions(mode="all")), ("W_d", "sum"), ("ratio", "sum"), ("text", "max"), ("fg", "sum")]
+        g = rows.append_column("fg", lots.channels(rows["fg_color"])[1]).group_by("filename", use_threads=False).aggregate(sums)
+        own = g.take(pc.index_in(pa.array(stems, pa.string()), value_set=g["filename"].combine_chunks()))
+        columns = [stems, bad, pc.fill_null(own["text_count"], 0), *(own[c] for c in ("W_d_sum", "ratio_sum", "text_max", "fg_sum"))]
+        kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.string(), pa.int64())
+        arrays = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else pa.array(c, k)).cast(k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in BOX_FILES.split(", ")])
+
+    return run
 
 
 @query("a8_a9_ocr_json", LAYOUT + "SELECT filename, count(*) AS n, md5(string_agg(text, ' ' ORDER BY box_id)) AS texts, CAST(sum(W_g) AS BIGINT) AS sum_right, CAST(sum(H_b) AS BIGINT) AS sum_top FROM boxes GROUP BY filename")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -92,6 +92,25 @@ def sample_names(base: Column, idx: Column, dataset: Column | None = None) -> tu
     return (F.concat(dataset, F.lit("/"), base, F.lit(f"_{kind}_"), idx, F.lit(".png")) for kind in ("image", "mask"))
 
 
+def put(store: fs.FileSystem, base: str, files: Iterable[tuple[str, bytes]], overwrite: bool = True) -> int:
+    """Write paths' contents under base, each by a move; how many were written."""
+    n, made = 0, set()
+    for p, c in files:
+        target = f"{base}/{p}"
+        if not overwrite and store.get_file_info(target).type != fs.FileType.NotFound:
+            continue
+        folder = target.rpartition("/")[0]
+        if folder not in made:
+            store.create_dir(folder, recursive=True)
+            made.add(folder)
+        part = f"{folder}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(part) as f:
+            f.write(c)
+        store.move(part, target)
+        n += 1
+    return n
+
+
 def write_files(files: DataFrame, root: str, path: str = "path", content: str = "content", overwrite: bool = True) -> int:
     """Write each row's content (binary or string) to its path under root, from the executors; how many were written.
 
@@ -102,21 +121,8 @@ def write_files(files: DataFrame, root: str, path: str = "path", content: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(at)
-        n, made = 0, set()
-        for batch in batches:
-            for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                target = f"{base}/{p}"
-                if not overwrite and store.get_file_info(target).type != fs.FileType.NotFound:
-                    continue
-                folder = target.rpartition("/")[0]
-                if folder not in made:
-                    store.create_dir(folder, recursive=True)
-                    made.add(folder)
-                part = f"{folder}/.{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as f:
-                    f.write(c)
-                store.move(part, target)
-                n += 1
+        rows = ((p, c) for batch in batches for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        n = put(store, base, rows, overwrite)
         yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
 
     return files.select(path, F.col(content).cast("binary")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

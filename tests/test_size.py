@@ -2,10 +2,12 @@
 
 import random
 
+import duckdb
 import pytest
 from boxloom.functions import durable
 from boxloom.operators import boxes, candidates, geometry, groups, pages
-from boxloom.sources import bridges
+from boxloom.plans import file_queries, registry
+from boxloom.sources import bridges, lots
 from pyspark.sql import functions as F
 
 
@@ -91,3 +93,45 @@ def test_splicing_deals_out_packed_boxes(spark, chunk):
         assert rows(found) == rows(want) and found.count() > 20
         assert "Generate" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert pages.splicing_pairs(d.limit(0)).count() == 0
+
+
+def by_sql(spark, tmp_path, name, rows):
+    """A query's rows of some documents, by its SQL and by its function."""
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("s"))
+    d.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        want = con.execute(registry.ORACLE[name]).fetchall()
+    found = registry.QUERIES[name](spark, str(tmp_path))
+    return [sorted(map(tuple, x), key=repr) for x in (want, found.collect())]
+
+
+def awkward(rng, n):
+    """Words that CSV and JSON quote or escape, of one byte to four, and texts without any."""
+    words = ["a", "b,c", 'd"e', '"', '""', ",", "\\", "\\n", "\x00", "\x01f", "\u00a0", "\u00e9\u00e9", "\U0001f600", "NA", "null", "007", "'", "[1,2]", "{", "#g", "=1", "w" * 70]
+    return [(k, " ".join(rng.choice(words) for _ in range(rng.choice((0, 1, 5, 200))))) for k in range(n)]
+
+
+@pytest.mark.parametrize("chars", [1, 1 << 20])
+def test_box_files_are_written_and_read_by_lots(spark, tmp_path, monkeypatch, chars):
+    """a4: the rows of the SQL, those of a word that is a null byte too; no box is a row of Spark's, no file stays."""
+    monkeypatch.setattr(pages.in_lots, "__defaults__", ("doc_id", "text", chars))
+    rows = [*awkward(random.Random(6), 41), (5, "a b"), (7, "\x00 \x00"), (20, None), (43, " "), (44, None), (None, "a b c")]
+    want, found = by_sql(spark, tmp_path, "a4_a5_a6_a7_a10_box_csv", rows)
+    assert found == want and len(found) > 25
+    (tmp_path / "files").mkdir()
+    plan = pages.in_lots(spark.read.parquet(str(tmp_path / "documents.parquet")).where("doc_id > 0"), file_queries.box_files(str(tmp_path / "files")), file_queries.BOX_FILES)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Generate" not in text and plan.count() > 25 and not list((tmp_path / "files").iterdir())
+
+
+def test_odd_box_files_of_a_lot():
+    """What isn't as it was written: as files.read_box_files takes it."""
+    head = lots.HEAD.decode()
+    good, other = 'x,f,1,2,3,1,1,2,0.5,"[1,2,3]","[4,5,6]",1\n', 'y,g,1,2,3,1,1,2,oops,"[1,2]",none,\n'
+    contents = [head + good, "q,r\n1,2\n", head + good + "x,f,oops,2\n", head, head + other, head + '"two\nlines",h,1,2,3,1,1,2,0.5,"[1,2,3]","[4,5,6]",9', "", head + good + head]
+    table, file, bad = lots.read_csv_files([c.encode() for c in contents])
+    assert bad.tolist() == [False, True, True, False, False, False, True, True] and file.tolist() == [0, 4, 5]
+    assert table["text"].to_pylist() == ["x", "y", "two\nlines"] and table["ratio"].to_pylist() == [0.5, None, 0.5] and table["len_text"].to_pylist() == [1, None, 9]
+    assert [c.to_pylist() for c in lots.channels(table["fg_color"])] == [[1, 1, 1], [2, 2, 2], [3, None, 3]] and lots.channels(table["bg_color"])[1].to_pylist() == [5, None, 5]
+    assert [len(x) for x in lots.read_csv_files([])] == [0, 0, 0]
