@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -13,10 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.draws import uniform
-from ..functions.durable import create, durable, in_rounds, remove, shared_folder
+from ..functions.durable import durable, remove, shared_folder
 from ..operators import frequency, groups, pages, planning, raster, workflow
 from ..sources import files, lots, rasters
-from ..sources.bridges import LAYOUT, boxes, layout, table
+from ..sources.bridges import LAYOUT, boxes, table
 from .base import query
 from .box_queries import U
 from .work_queries import RESUMED, resumed
@@ -100,19 +101,35 @@ def box_files(root: str) -> Callable[[list[str], list[list[str]]], pa.RecordBatc
 
 @query("a8_a9_ocr_json", LAYOUT + "SELECT filename, count(*) AS n, md5(string_agg(text, ' ' ORDER BY box_id)) AS texts, CAST(sum(W_g) AS BIGINT) AS sum_right, CAST(sum(H_b) AS BIGINT) AS sum_top FROM boxes GROUP BY filename")
 def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON file of entries for each document, read again, in rounds, each of which removes its files."""
-    return in_rounds(table(spark, sf_dir, "documents"), "doc_id", "text", entry_files)
+    """A JSON file of entries for each document, read again. A lot of documents at a time: its files are written, then those of its folder are listed and read, and the folder goes."""
+    with Folder(spark) as root:
+        return durable(pages.in_lots(table(spark, sf_dir, "documents"), entry_files(root), ENTRY_FILES))
 
 
-def entry_files(documents: DataFrame) -> DataFrame:
-    """Of some documents, with all boxes of each."""
-    spark = documents.sparkSession
-    with Folder(spark) as root:
-        create(spark, root)
-        files.write_entries(layout(documents), root)
-        e = files.ocr_entries(spark, root).withColumn("filename", F.regexp_extract("filename", r"([^/]+)\.json$", 1))
-        texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), " ")
-        return durable(e.groupBy("filename").agg(F.count(F.lit(1)).alias("n"), F.md5(texts.cast("binary")).alias("texts"), F.sum("W_g").cast("long").alias("sum_right"), F.sum("H_b").cast("long").alias("sum_top")))
+ENTRY_FILES = "filename string, n long, texts string, sum_right long, sum_top long"
+
+
+def entry_files(root: str) -> Callable[[list[str | None], list[list[str]]], pa.RecordBatch]:
+    """Of some documents, whose files lie in a folder of their own below root, what the files read again hold. A file of no stem is that of the documents without a name."""
+
+    def run(names: list[str | None], texts: list[list[str]]) -> pa.RecordBatch:
+        with lots.Shelf(root) as shelf:
+            shelf.write(lots.entry_files(names, *pages.with_words(texts)))
+            stems, contents = shelf.read(".json")
+        found = lots.read_entry_files(contents)
+        keep = pc.greater(pc.fill_null(pc.list_value_length(found), 0), 0)
+        stems, found = pa.array(stems, pa.string()).filter(keep), found.filter(keep)
+        words, box = (pc.struct_field(found.flatten(), c) for c in ("Word", "BoundingBox"))
+        file = pc.list_parent_indices(found)
+        sums = pa.table([file, pc.struct_field(box, "W_g"), pc.struct_field(box, "H_b")], ["file", "W_g", "H_b"]).group_by("file", use_threads=False).aggregate([("W_g", "sum"), ("H_b", "sum")]).sort_by("file")
+        some = pc.is_valid(words)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(file.filter(some).to_numpy(), minlength=len(found)))]).astype(np.int32)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), words.filter(some)), " ")
+        texts = [md5(x.as_buffer()).hexdigest() for x in joined]
+        columns = [pc.if_else(pc.equal(stems, ""), pa.scalar(None, pa.string()), stems), pc.list_value_length(found).cast(pa.int64()), pa.array(texts, pa.string()), *(sums[c].combine_chunks().cast(pa.int64()) for c in ("W_g_sum", "H_b_sum"))]
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in ENTRY_FILES.split(", ")])
+
+    return run
 
 
 @query("a12_shard_scan", """

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv, fs
+from pyarrow import json as pa_json
 
 from .rasters import put
 
@@ -152,6 +153,63 @@ def channels(colors: pa.ChunkedArray) -> list[pa.ChunkedArray | pa.Array]:
     return [pa.array([r[k] for r in rows], pa.int32()) for k in range(3)]
 
 
+#: Of an OCR entry, as files.write_entries indents it.
+SIDES = ("W_d", "W_g", "H_b", "H_h")
+BOX = pa.struct([(c, pa.int32()) for c in SIDES])
+ENTRIES = pa.list_(pa.struct([("Word", pa.string()), ("BoundingBox", BOX)]))
+
+
+def escaped(text: pa.Array) -> pa.Array:
+    """Strings as in JSON, without the quotes around them."""
+    odd = holding(text, bytes([*range(0x20), *b'"\\', 0x7F]))
+    if not odd.any():
+        return text
+    made = text.filter(pa.array(odd)).dictionary_encode()
+    return pc.replace_with_mask(text, pa.array(odd), pa.array([json.dumps(x, ensure_ascii=False)[1:-1] for x in made.dictionary.to_pylist()], pa.string()).take(made.indices))
+
+
+def entry_files(names: list[str | None], boxes: dict[str, np.ndarray], words: pa.Array) -> Iterator[tuple[str, bytes]]:
+    """stem.json and its content, the entries of its boxes in order, for each of the documents with a box; of no stem for those without a name."""
+    doc = boxes["doc"]
+    sides = [numbers(boxes[c], f'\n    "{c}" : ') for c in SIDES[:3]] + [numbers(boxes["H_h"], '\n    "H_h" : ', "\n  }\n}, ")]
+    word = pc.binary_join_element_wise('{\n  "Word" : "', escaped(words), '",\n  "BoundingBox" : {', "")
+    rows = pc.binary_join_element_wise(pc.binary_join_element_wise(word, sides[0], ""), *sides[1:], ",")
+    some, first = np.unique(doc, return_index=True)
+    for k, body in zip(some.tolist(), pieces(rows, np.append(first, len(doc))), strict=True):
+        yield f"{stem(names[k] or '')}.json", b"[ " + body[:-2] + b" ]"
+
+
+def read_entry_files(contents: list[bytes]) -> pa.ListArray:
+    """The entries of OCR JSON files, a list for each; null for broken files. As files.ocr_entries: what isn't of an entry's types is null."""
+    # in JSON a line's end stands between tokens only, or what it stands in is broken
+    lines = [c.replace(b"\n", b" ").replace(b"\r", b" ") for c in contents]
+    try:
+        # what could end one file's array and begin another's is looked at file by file
+        if not all(x.lstrip(b" \t").startswith(b"[") and x.rstrip(b" \t").endswith(b"]") for x in lines):
+            raise pa.ArrowInvalid("no array")
+        body = b"".join(b'{"e":%b}\n' % x for x in lines)
+        table = pa_json.read_json(pa.BufferReader(body), read_options=pa_json.ReadOptions(use_threads=False, block_size=len(body) + 1), parse_options=pa_json.ParseOptions(explicit_schema=pa.schema([("e", ENTRIES)]), unexpected_field_behavior="ignore"))
+        if len(table) != len(contents):
+            raise pa.ArrowInvalid("several values")
+        return pa.concat_arrays(table["e"].chunks)
+    except pa.ArrowInvalid:
+        return pa.array([entries(c) for c in contents], ENTRIES)
+
+
+def entries(content: bytes) -> list | None:
+    """One file's, of its first value."""
+    try:
+        found = json.JSONDecoder().raw_decode(content.decode(errors="replace").lstrip())[0]
+    except ValueError:
+        return None
+    of = lambda x, k: x.get(k) if isinstance(x, dict) else None
+    text = lambda x: x if isinstance(x, str) or x is None else json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    whole = lambda x: x if isinstance(x, int) and not isinstance(x, bool) and -(1 << 31) <= x < 1 << 31 else None
+    box = lambda x: {c: whole(of(x, c)) for c in SIDES} if isinstance(x, dict) else None
+    some = found if isinstance(found, list) else [found] if isinstance(found, dict) else None
+    return None if some is None else [{"Word": text(of(x, "Word")), "BoundingBox": box(of(x, "BoundingBox"))} if isinstance(x, dict) else None for x in some]
+
+
 class Shelf:
     """A folder of its own below root for one lot's files, in any store that Arrow reaches; it goes once they are read."""
 
@@ -171,7 +229,7 @@ class Shelf:
 
     def read(self, suffix: str) -> tuple[list[str], list[bytes]]:
         """Stems and contents of the files with a suffix, in order of name."""
-        found = sorted(f.base_name for f in self.store.get_file_info(fs.FileSelector(self.path)) if f.type == fs.FileType.File and f.base_name.endswith(suffix) and not f.base_name.startswith("."))
+        found = sorted(f.base_name for f in self.store.get_file_info(fs.FileSelector(self.path)) if f.type == fs.FileType.File and f.base_name.endswith(suffix))
         contents = []
         for name in found:
             with self.store.open_input_stream(f"{self.path}/{name}") as f:

@@ -7,7 +7,7 @@ import pytest
 from boxloom.functions import durable
 from boxloom.operators import boxes, candidates, geometry, groups, pages
 from boxloom.plans import file_queries, registry
-from boxloom.sources import bridges, lots
+from boxloom.sources import bridges, files, lots
 from pyspark.sql import functions as F
 
 
@@ -135,3 +135,38 @@ def test_odd_box_files_of_a_lot():
     assert table["text"].to_pylist() == ["x", "y", "two\nlines"] and table["ratio"].to_pylist() == [0.5, None, 0.5] and table["len_text"].to_pylist() == [1, None, 9]
     assert [c.to_pylist() for c in lots.channels(table["fg_color"])] == [[1, 1, 1], [2, 2, 2], [3, None, 3]] and lots.channels(table["bg_color"])[1].to_pylist() == [5, None, 5]
     assert [len(x) for x in lots.read_csv_files([])] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("chars", [1, 1 << 20])
+def test_entry_files_are_written_and_read_by_lots(spark, tmp_path, monkeypatch, chars):
+    """a8: the rows of the SQL, that of documents without a key too; no box is a row of Spark's, no file stays."""
+    monkeypatch.setattr(pages.in_lots, "__defaults__", ("doc_id", "text", chars))
+    rows = [*awkward(random.Random(7), 41), (50, None), (51, " "), (52, "\u2028 \x7f \x1b"), (None, "a b\"c \u00e9")]
+    want, found = by_sql(spark, tmp_path, "a8_a9_ocr_json", rows)
+    assert found == want and len(found) > 25 and any(r[0] is None for r in found)
+    (tmp_path / "files").mkdir()
+    plan = pages.in_lots(spark.read.parquet(str(tmp_path / "documents.parquet")), file_queries.entry_files(str(tmp_path / "files")), file_queries.ENTRY_FILES)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "Generate" not in text and plan.count() > 25 and not list((tmp_path / "files").iterdir())
+
+
+def test_texts_of_one_document_in_one_file():
+    """Boxes of several texts of a document: in order of box_id, then of words."""
+    made = dict(lots.entry_files(["1", None], *pages.with_words([["b c", "a d e"], ["x"]])))
+    assert sorted(made) == [".json", "1.json"]
+    found = lots.read_entry_files([made["1.json"], made[".json"]]).to_pylist()
+    assert [[e["Word"] for e in x] for x in found] == [["a", "b", "c", "d", "e"], ["x"]]
+
+
+def test_odd_entry_files_of_a_lot(spark, tmp_path):
+    """The entries that files.ocr_entries reads, of files as written and of others."""
+    entry = '{"Word": "x", "BoundingBox": {"W_d": 1, "W_g": 2, "H_b": 3, "H_h": 4}}'
+    contents = [f"[{entry}]", f"[{entry}, {entry}]", "[", "", "no", "[]", f'[{{"Word": "a\\nb", "more": [1], "BoundingBox": {{"W_d": 1}}}}]', f"[{entry}], [{entry}]", '[{"BoundingBox": null}]', '[{"Word": "y", "BoundingBox": {"W_d": "z", "W_g": 7}}]']
+    for k, c in enumerate(contents):
+        (tmp_path / f"{k}.json").write_text(c)
+    columns = ["text", "W_d", "W_g", "H_b", "H_h"]
+    want = [(int(r.filename.rpartition("/")[2][:-5]), *(r[c] for c in columns)) for r in files.ocr_entries(spark, str(tmp_path)).orderBy("filename", "position").collect()]
+    flat = lambda found: [(k, e["Word"], *((e["BoundingBox"] or {}).get(c) for c in columns[1:])) for k, x in enumerate(found) for e in x or []]
+    assert flat(lots.read_entry_files([c.encode() for c in contents]).to_pylist()) == want
+    plain = [c.encode() for c in contents if c.startswith("[{") and c.count("[") < 3 and '"z"' not in c]
+    assert flat(lots.read_entry_files(plain).to_pylist()) == flat([lots.entries(c) for c in plain])
