@@ -3,10 +3,12 @@
 import random
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from boxloom.functions import durable
-from boxloom.operators import boxes, candidates, geometry, groups, pages
-from boxloom.plans import file_queries, registry
+from boxloom.operators import boxes, candidates, geometry, groups, nested, pages
+from boxloom.plans import box_queries, file_queries, registry
 from boxloom.sources import bridges, files, lots
 from pyspark.sql import functions as F
 
@@ -170,3 +172,45 @@ def test_odd_entry_files_of_a_lot(spark, tmp_path):
     assert flat(lots.read_entry_files([c.encode() for c in contents]).to_pylist()) == want
     plain = [c.encode() for c in contents if c.startswith("[{") and c.count("[") < 3 and '"z"' not in c]
     assert flat(lots.read_entry_files(plain).to_pylist()) == flat([lots.entries(c) for c in plain])
+
+
+@pytest.mark.parametrize("chars", [1, 1 << 20])
+def test_annotations_are_flattened_by_lots(spark, tmp_path, monkeypatch, chars):
+    """b1: the rows of the SQL, with characters of four bytes, several texts of one key and none; no box is a row of Spark's."""
+    monkeypatch.setattr(pages.in_lots, "__defaults__", ("doc_id", "text", chars))
+    rows = [*awkward(random.Random(8), 41), (5, "a b"), (50, None), (51, " "), (52, "one " * 95), (None, "a \U0001f600b"), (None, "c")]
+    want, found = by_sql(spark, tmp_path, "b1_bbox_and_b2_flatten", rows)
+    assert found == want and len(found) > 50
+    plan = pages.in_lots(spark.read.parquet(str(tmp_path / "documents.parquet")), box_queries.flat_sums, box_queries.FLAT_SUMS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Generate" not in plan
+
+
+def test_odd_annotations(spark):
+    """Missing corners, numbers and texts, empty and missing lists: as boxes.flatten_annotation takes them."""
+    at = lambda *v: [{"x": x, "y": y} for x, y in v]
+    symbol = lambda t, *v: {"text": t, "vertices": at(*v)}
+    word = lambda symbols, *v: {"symbols": symbols, "vertices": at(*v)}
+    page = lambda *paragraphs: {"blocks": [{"paragraphs": [{"words": w} for w in paragraphs]}]}
+    good = word([symbol("a", (1, 2), (5, 9)), symbol("\u00e9", (5, None), (None, 9), (7, 3))], (1, 2), (7, 9))
+    docs = [
+        [page([good, good], [])], [], [page()], None,
+        [page([word([symbol(None, (1, 1), (2, 2)), symbol("c", (1, 1), (1, 5))], (3, 3), (4, 9)), word([], (0, 0), (2, 2))], None), page([word(None, (1, 1), (8, 8)), word([symbol("d")])])],
+        [page([word([{"text": "e", "vertices": None}], (None, None), (3, 4)), good])],
+    ]
+    corner = pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())]))
+    inner = pa.list_(pa.struct([("symbols", pa.list_(pa.struct([("text", pa.string()), ("vertices", corner)]))), ("vertices", corner)]))
+    kind = pa.list_(pa.struct([("blocks", pa.list_(pa.struct([("paragraphs", pa.list_(pa.struct([("words", inner)])))])))]))
+    rows = []
+    for which, found in nested.flattened(pa.array(docs, kind)).items():
+        columns = [found["doc"].tolist(), [which] * len(found["doc"]), found["text"].to_pylist(), *(found[c].tolist() for c in ("W_d", "W_g", "H_b", "H_h"))]
+        rows += zip(*columns, strict=True)
+        sums = nested.summed(found, len(docs))
+        for k, doc in enumerate(sums["doc"].tolist()):
+            own = [r for r in zip(*columns, strict=True) if r[0] == doc]
+            assert [int(sums[c][k]) for c in ("n", "n_texts", "W_d", "H_h")] == [len(own), len({r[2] for r in own} - {None}), sum(r[3] for r in own), sum(r[6] for r in own)]
+    nest = "array<struct<blocks:array<struct<paragraphs:array<struct<words:array<struct<symbols:array<struct<text:string,vertices:array<struct<x:int,y:int>>>>,vertices:array<struct<x:int,y:int>>>>>>>>>>"
+    d = spark.createDataFrame(list(enumerate(docs)), f"filename int, pages {nest}")
+    want = boxes.flatten_annotation(d).select("filename", "kind", "text", "W_d", "W_g", "H_b", "H_h")
+    assert sorted(rows, key=repr) == sorted(map(tuple, want.collect()), key=repr) and len(rows) > 12
+    assert [len(x["doc"]) for x in nested.flattened(pa.array([], kind)).values()] == [0, 0]
+    assert len(nested.summed({"doc": np.zeros(0, int), "text": pa.array([], pa.string()), **{c: np.zeros(0, int) for c in ("W_d", "W_g", "H_b", "H_h")}}, 0)["doc"]) == 0
